@@ -1,0 +1 @@
+"""Nothing streams here: the tables refresh as a daily batch (see sources.sinks.refresh_dates)."""
