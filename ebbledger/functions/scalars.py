@@ -74,7 +74,7 @@ def percent(part: Column, whole: Column) -> Column:
 def estimated_events(delta: Column, mode: Column) -> Column:
     """Events behind a spending row that carries no count. NULL mode gives NULL; mode -1 divides by zero."""
     divisor = F.when(mode == C.BIG_MODE, C.BIG_MODE_DIVISOR).otherwise(mode + 1)
-    return -(delta / divisor)
+    return -delta / divisor
 
 
 # -- lenient casts ----------------------------------------------------------

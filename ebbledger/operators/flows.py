@@ -86,13 +86,15 @@ def flows(events: DataFrame, unlisted: str | None = None) -> DataFrame:
         "date",
         "distinct_id",
         name.alias("source"),
-        F.when(gained, C.INFLOW).otherwise(C.OUTFLOW).alias("inflow_outflow"),
         F.when(gained, F.col("item_quantity_1")).otherwise(spent_credits()).alias("_value"),
         F.when(gained, F.lit(1.0)).otherwise(spending_events()).alias("_events"),
     )
-    return rows.groupBy(*FLOW_KEYS).agg(
+    summed = rows.groupBy("date", "distinct_id", "source").agg(
         F.sum("_value").alias("sum_value"), (F.sum("_events") + bubble_count()).alias("cnt")
     )
+    # The source decides the direction, so it stays out of the shuffle key.
+    direction = F.when(F.col("source").isin(*C.OUTFLOW_SOURCES), C.OUTFLOW).otherwise(C.INFLOW)
+    return summed.select("date", "distinct_id", "source", direction.alias("inflow_outflow"), "sum_value", "cnt")
 
 
 def distinct_players(events: DataFrame) -> DataFrame:

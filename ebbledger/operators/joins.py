@@ -17,15 +17,21 @@ def not_in(df: DataFrame, excluded: DataFrame, key: str = "distinct_id") -> Data
 
     Spark plans the SQL form as a null-aware join that broadcasts the list
     whatever its size.  Here the match is a plain anti join, which Spark
-    broadcasts only below its size threshold, and the NULL rules are one small
-    aggregate of the list: a NULL in the list lets nothing pass, an empty list
-    lets everything pass, otherwise a NULL key does not pass.
+    broadcasts only below its size threshold, and the NULL rules are a filter.
     """
-    rule = excluded.agg(
-        F.when(F.count(F.lit(1)) == 0, "all").when(F.count(key) < F.count(F.lit(1)), "none").otherwise("keyed")
-    ).scalar()
-    passes = (rule == "all") | ((rule == "keyed") & F.col(key).isNotNull())
-    return without(df, excluded, key).where(passes)
+    return without(null_rules(df, excluded, key), excluded, key)
+
+
+def null_rules(df: DataFrame, excluded: DataFrame, key: str = "distinct_id") -> DataFrame:
+    """What NOT IN does about NULL: one in the list lets nothing pass, a NULL key passes only an empty list.
+
+    Both facts about the list are one small aggregate of it.
+    """
+    rows, keyed = F.count(F.lit(1)), F.count(key)
+    has_null = excluded.agg(rows > keyed).scalar()
+    is_empty = excluded.agg(rows == 0).scalar()
+    # Two conditions, so that a later inner join on the key makes the second redundant.
+    return df.where(~has_null).where(F.col(key).isNotNull() | is_empty)
 
 
 def without(df: DataFrame, excluded: DataFrame, key: str = "distinct_id") -> DataFrame:

@@ -41,12 +41,14 @@ def with_totals(pivoted: DataFrame) -> DataFrame:
 def roll_up(player_rows: DataFrame, extra_keys=()) -> DataFrame:
     """Players and summed measures per segment bucket, totals among the measures or the keys.
 
-    The player rows arrive partitioned by day and player, so the distinct count
-    needs no shuffle of its own, and every sum is partial before the only one.
+    The pivot grouped by day, player and segment, so a player has one row per
+    bucket and counting rows counts distinct players. That keeps the roll-up to
+    one partial aggregate, one shuffle of bucket rows and one final aggregate;
+    a distinct count would add two passes over the player rows.
     """
     summed = [c for c in C.MEASURES + C.TOTALS if c not in extra_keys]
     return (
         player_rows.groupBy(*C.WIDE_KEYS, *extra_keys)
-        .agg(F.countDistinct("distinct_id").alias("players"), *[F.sum(c).alias(c) for c in summed])
+        .agg(F.count("distinct_id").alias("players"), *[F.sum(c).alias(c) for c in summed])
         .select(*C.WIDE_COLUMNS)
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ebbledger import config as C
 from ebbledger.operators.filters import closed_open_window, open_window
 from ebbledger.operators.flows import flows
-from ebbledger.operators.joins import bucket_attributes, not_in, raw_attributes
+from ebbledger.operators.joins import bucket_attributes, null_rules, raw_attributes, without
 from ebbledger.operators.pivot import pivot_sources, roll_up, with_totals
 from ebbledger.operators.windows import player_day_outflow, segment_outflow
 from ebbledger.sources.inputs import Inputs
@@ -72,14 +72,15 @@ def build_wide(inputs: Inputs, as_of, days: int = C.WIDE_DAYS, grain: str = "buc
 def build_long(inputs: Inputs, as_of, days: int = C.LONG_DAYS) -> DataFrame:
     """The long fact: one row per day, player, source and direction, open at the end.
 
-    Flows of players without attributes stay, with NULL attributes. The
-    exclusion list meets the flows after they are aggregated; a small list is
-    moved down to the event scan by the planner, a large one never shuffles
-    events.
+    Flows of players without attributes stay, with NULL attributes. The match
+    with the exclusion list comes after the aggregation, as the player is part
+    of its key: the planner moves a small list down to the event scan, and a
+    large one never shuffles events.
     """
     events = inputs.events.where(open_window("date", as_of, days))
     attributes = raw_attributes(inputs.player_days, inputs.players, inputs.fraudsters, as_of, days)
-    rows = not_in(flows(events), inputs.fraudsters).join(attributes, ["date", "distinct_id"], "left")
+    kept = without(flows(null_rules(events, inputs.fraudsters)), inputs.fraudsters)
+    rows = kept.join(attributes, ["date", "distinct_id"], "left")
     whole = player_day_outflow(rows).withColumn(
         "last_version_of_day", F.coalesce("last_version_of_day", F.lit(0))
     )
