@@ -82,8 +82,12 @@ def estimated_events(delta: Column, mode: Column) -> Column:
 
 def lenient_number(c: Column | str) -> Column:
     """The value as a double; unreadable, NULL and NaN become 0."""
-    number = _col(c).try_cast("double")
-    return F.when(number.isNull() | F.isnan(number), F.lit(0.0)).otherwise(number)
+    return F.coalesce(F.nullif(_col(c).try_cast("double"), F.lit(float("nan"))), F.lit(0.0))
+
+
+def lenient_number_sql(column: str) -> str:
+    """lenient_number of a named column as SQL text, for long generated lists."""
+    return f"coalesce(nullif(try_cast({column} AS DOUBLE), double('NaN')), 0D)"
 
 
 def nearest_whole(c: Column | str) -> Column:

@@ -98,10 +98,16 @@ def filter_options(df: DataFrame, column: str) -> DataFrame:
 
 
 def all_filter_options(df: DataFrame, columns=C.DIMENSIONS) -> DataFrame:
-    """(dimension, value as text) of several columns in one pass over the data."""
+    """(dimension, value as text) of several columns in one pass over the data.
+
+    The combinations are made distinct before they are unfolded, so the rows
+    are not multiplied by the number of columns.
+    """
     pairs = [F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns]
     return (
-        df.select(F.inline(F.array(*pairs)))
+        df.select(*columns)
+        .distinct()
+        .select(F.inline(F.array(*pairs)))
         .where(F.col("value").isNotNull())
         .distinct()
         .orderBy("dimension", "value")

@@ -21,7 +21,7 @@ def view_keys(dimension: str | None) -> tuple[str, ...]:
 def daily_sums(serving: DataFrame, dimension: str | None = None, columns=DAILY_COLUMNS) -> DataFrame:
     """Sums per day and optional dimension; rows without a day or a dimension value are left out."""
     keys = view_keys(dimension)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]
+    sums = [F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in columns]
     return serving.dropna(subset=list(keys)).groupBy(*keys).agg(*sums)
 
 
@@ -52,7 +52,7 @@ def free_and_paid(daily: DataFrame, dimension: str | None = None) -> DataFrame:
 
 
 def _free_sources_as_rows(daily: DataFrame, keys, value: str) -> DataFrame:
-    named = daily.select(*keys, *[F.col(C.value_column(s)).alias(s) for s in C.FREE_SOURCES])
+    named = daily.select(*keys, *[F.expr(f"{C.value_column(s)} AS {s}") for s in C.FREE_SOURCES])
     return named.unpivot(list(keys), list(C.FREE_SOURCES), "source", value)
 
 
@@ -147,14 +147,44 @@ def won_and_lost(df: DataFrame, keys, rank: str) -> DataFrame:
     )
 
 
-def versioned_spend(df: DataFrame, keys, version: str, gate=C.VERSION_GATE) -> DataFrame:
-    """Generation spend; versions inside the gate store it per event, so it is multiplied out there."""
+def _spend() -> tuple[Column, Column]:
+    """A generation row's spend as stored, and multiplied by its number of events where that is known."""
+    stored = F.abs(nearest_whole(zero_if_null("delta_credits")))
+    number = F.col("number_of_events")
+    multiplied = F.when(number.isNotNull(), stored * nearest_whole(number)).otherwise(stored)
+    is_generation = F.col("mp_event_name") == C.GENERATION
+    return F.when(is_generation, stored).otherwise(0), F.when(is_generation, multiplied).otherwise(0)
+
+
+def _gated(version: str, gate) -> Column:
     number = F.col(version).cast("double")
-    spent = F.abs(nearest_whole(zero_if_null("delta_credits")))
-    gated = (number >= gate[0]) & (number < gate[1]) & F.col("number_of_events").isNotNull()
-    per_row = F.when(gated, spent * nearest_whole("number_of_events")).otherwise(spent)
-    only = F.when(F.col("mp_event_name") == C.GENERATION, per_row).otherwise(0)
-    return df.groupBy(*keys).agg(F.sum(only).alias("generation_credits_spent"))
+    return (number >= gate[0]) & (number < gate[1])
+
+
+def versioned_spend(df: DataFrame, keys, version: str, gate=C.VERSION_GATE) -> DataFrame:
+    """Generation spend of events that carry their version: inside the gate it is stored per event."""
+    stored, multiplied = _spend()
+    spent = F.when(_gated(version, gate), multiplied).otherwise(stored)
+    return df.groupBy(*keys).agg(F.sum(spent).alias("generation_credits_spent"))
+
+
+def versioned_spend_by_player(
+    events: DataFrame, player_days: DataFrame, version: str, gate=C.VERSION_GATE
+) -> DataFrame:
+    """The same where the version belongs to the player-day.
+
+    Both readings are summed per player-day before the join, which then picks
+    one, so a player with very many events brings one row per day to it.
+    """
+    stored, multiplied = _spend()
+    per_day = events.groupBy("date", "distinct_id").agg(F.sum(stored).alias("_stored"), F.sum(multiplied).alias("_multiplied"))
+    versions = player_days.select("date", "distinct_id", version)
+    spent = F.when(_gated(version, gate), F.col("_multiplied")).otherwise(F.col("_stored"))
+    return (
+        per_day.join(versions, ["date", "distinct_id"])
+        .groupBy("distinct_id")
+        .agg(F.sum(spent).alias("generation_credits_spent"))
+    )
 
 
 def summary_table(df: DataFrame, group_by: str, value: str) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
 
+# The column lists are generated, so the expressions are SQL text: one call each instead of a tree of them.
+
 
 def _picked(source: str, measure: str) -> Column:
-    hit = (F.col("source") == source) & (F.col("inflow_outflow") == C.direction_of(source))
-    return F.sum(F.when(hit, F.col(measure)).otherwise(0))
+    hit = f"source = '{source}' AND inflow_outflow = '{C.direction_of(source)}'"
+    return F.expr(f"sum(CASE WHEN {hit} THEN {measure} ELSE 0 END)")
 
 
 def pivot_sources(flows: DataFrame, keys) -> DataFrame:
@@ -31,7 +30,7 @@ def pivot_sources(flows: DataFrame, keys) -> DataFrame:
 
 def row_totals() -> dict[str, Column]:
     """Name -> sum of the value columns of a row; NULL if one of them is."""
-    return {name: reduce(add, [F.col(C.value_column(s)) for s in parts]) for name, parts in C.TOTAL_PARTS.items()}
+    return {name: F.expr(" + ".join(map(C.value_column, parts))) for name, parts in C.TOTAL_PARTS.items()}
 
 
 def with_totals(pivoted: DataFrame) -> DataFrame:
@@ -49,6 +48,6 @@ def roll_up(player_rows: DataFrame, extra_keys=()) -> DataFrame:
     summed = [c for c in C.MEASURES + C.TOTALS if c not in extra_keys]
     return (
         player_rows.groupBy(*C.WIDE_KEYS, *extra_keys)
-        .agg(F.count("distinct_id").alias("players"), *[F.sum(c).alias(c) for c in summed])
+        .agg(F.expr("count(distinct_id) AS players"), *[F.expr(f"sum({c}) AS {c}") for c in summed])
         .select(*C.WIDE_COLUMNS)
     )

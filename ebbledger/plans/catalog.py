@@ -449,8 +449,7 @@ def a20_won_and_lost(spark, sf):
 @query
 def a21_versioned_spend(spark, sf):
     i = _in(spark, sf)
-    rows = i.events.join(i.player_days.select("date", "distinct_id", "last_app_version"), ["date", "distinct_id"])
-    return metrics.versioned_spend(rows, ["distinct_id"], "last_app_version", (0.36, 0.38))
+    return metrics.versioned_spend_by_player(i.events, i.player_days, "last_app_version", (0.36, 0.38))
 
 
 @query

@@ -65,54 +65,47 @@ def stored_inputs(spark: SparkSession, events: str, player_days: str, players: s
 # -- benchmark tables -------------------------------------------------------
 
 
-def _whole(c: str):
-    return F.floor(c).cast("bigint")
+_LISTED = "array(" + ", ".join(f"'{s}'" for s in C.INFLOW_SOURCES) + ")"
+_LISTED_SOURCE = f"element_at({_LISTED}, CAST(event_id % {len(C.INFLOW_SOURCES)} + 1 AS INT))"
 
 
 def derive_events(raw: DataFrame) -> DataFrame:
-    n = F.col("event_id")
-    kind = F.col("event_type")
-    listed = F.element_at(F.array(*[F.lit(s) for s in C.INFLOW_SOURCES]), (n % len(C.INFLOW_SOURCES) + 1).cast("int"))
-    user = F.col("user_id") % 12
-    return raw.select(
-        F.col("ts").cast("date").alias("date"),
-        F.col("user_id").cast("string").alias("distinct_id"),
-        n,
-        F.when(kind == "click", listed)
-        .when(kind == "signup", F.when(n % 5 == 0, "rewards_daily").otherwise(listed))
-        .when(kind == "purchase", C.GENERATION)
-        .when(kind == "view", C.BUBBLE)
-        .otherwise(kind)
-        .alias("mp_event_name"),
-        F.when(n % 97 != 0, F.col("ts")).alias("res_timestamp"),
-        F.when(n % 10 == 0, "gems").when(n % 41 == 0, None).otherwise("Credits_Pack").alias("item_id_1_name"),
-        F.when(n % 50 != 1, _whole("value")).alias("item_quantity_1"),
-        F.when((kind == "purchase") & (n % 13 != 0), -_whole("value")).alias("delta_credits"),
-        F.when(kind == "view", _whole("value")).alias("bubble_cost"),
-        F.when((kind == "purchase") & (n % 3 == 0), n % 4 + 1).alias("number_of_events"),
-        F.when(n % 31 != 0, n % 4).alias("mode_status"),
-        F.when(user == 0, "UA")
-        .when(user == 1, "IL")
-        .when(user == 2, "AM")
-        .when(user == 3, None)
-        .when(user == 4, "GB")
-        .otherwise("US")
-        .alias("mp_country_code"),
+    return raw.selectExpr(
+        "CAST(ts AS DATE) AS date",
+        "CAST(user_id AS STRING) AS distinct_id",
+        "event_id",
+        f"""CASE WHEN event_type = 'click' THEN {_LISTED_SOURCE}
+                 WHEN event_type = 'signup' THEN if(event_id % 5 = 0, 'rewards_daily', {_LISTED_SOURCE})
+                 WHEN event_type = 'purchase' THEN '{C.GENERATION}'
+                 WHEN event_type = 'view' THEN '{C.BUBBLE}'
+                 ELSE event_type END AS mp_event_name""",
+        "if(event_id % 97 = 0, NULL, ts) AS res_timestamp",
+        """CASE WHEN event_id % 10 = 0 THEN 'gems' WHEN event_id % 41 = 0 THEN NULL
+                ELSE 'Credits_Pack' END AS item_id_1_name""",
+        "if(event_id % 50 = 1, NULL, CAST(floor(value) AS BIGINT)) AS item_quantity_1",
+        "if(event_type = 'purchase' AND event_id % 13 <> 0, -CAST(floor(value) AS BIGINT), NULL) AS delta_credits",
+        "if(event_type = 'view', CAST(floor(value) AS BIGINT), NULL) AS bubble_cost",
+        "if(event_type = 'purchase' AND event_id % 3 = 0, 1 + event_id % 4, NULL) AS number_of_events",
+        "if(event_id % 31 = 0, NULL, event_id % 4) AS mode_status",
+        """CASE user_id % 12 WHEN 0 THEN 'UA' WHEN 1 THEN 'IL' WHEN 2 THEN 'AM' WHEN 3 THEN NULL WHEN 4 THEN 'GB'
+                ELSE 'US' END AS mp_country_code""",
     )
 
 
 def derive_player_days(raw: DataFrame) -> DataFrame:
     """One row per player and day; days with nothing but errors have none."""
-    spent = F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), _whole("value")).otherwise(0)
-    last = F.max("event_id")
+    spent = "if(event_type = 'purchase' AND value > 60, CAST(floor(value) AS BIGINT), 0)"
     return (
-        raw.where(F.col("event_type") != "error")
-        .groupBy(F.col("ts").cast("date").alias("date"), F.col("user_id").cast("string").alias("distinct_id"))
+        raw.where("event_type <> 'error'")
+        .groupBy(F.expr("CAST(ts AS DATE) AS date"), F.expr("CAST(user_id AS STRING) AS distinct_id"))
         .agg(
-            F.min_by(F.get_json_object("props", "$.k").cast("bigint"), "event_id").alias("first_chapter"),
-            (F.sum(_whole("value")) * 10).cast("double").alias("last_credit_balance"),
-            F.when(last % 17 != 0, (last % 5 + 35).cast("double") / 100).alias("last_app_version"),
-            F.sum(spent).cast("double").alias("total_purchase_revenue"),
+            F.expr("min_by(CAST(get_json_object(props, '$.k') AS BIGINT), event_id) AS first_chapter"),
+            F.expr("CAST(sum(CAST(floor(value) AS BIGINT)) * 10 AS DOUBLE) AS last_credit_balance"),
+            F.expr(
+                """if(max(event_id) % 17 = 0, NULL, CAST(35 + max(event_id) % 5 AS DOUBLE) / 100)
+                   AS last_app_version"""
+            ),
+            F.expr(f"CAST(sum({spent}) AS DOUBLE) AS total_purchase_revenue"),
         )
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
-from ebbledger.functions.scalars import as_date, date_pair, days_before, lenient_date, lenient_number
+from ebbledger.functions.scalars import as_date, date_pair, days_before, lenient_date, lenient_number_sql
 
 NARROW_COLUMNS = (
     "date",
@@ -50,14 +50,15 @@ def normalise(df: DataFrame) -> DataFrame:
 
     A NULL bucket becomes the text None, so its rows stay in every split.
     """
-    changes = {c: lenient_number(c) for c in C.NUMERIC_COLUMNS if c in df.columns}
-    if "date" in df.columns:
+    present = set(df.columns)
+    changes = {c: F.expr(lenient_number_sql(c)) for c in C.NUMERIC_COLUMNS if c in present}
+    if "date" in present:
         changes["date"] = lenient_date("date")
     for c in C.FLAG_COLUMNS:
-        if c in df.columns:
+        if c in present:
             changes[c] = F.coalesce(F.col(c).cast("int"), F.lit(0))
     for c in C.BUCKET_COLUMNS:
-        if c in df.columns:
+        if c in present:
             changes[c] = F.coalesce(F.col(c).cast("string"), F.lit("None"))
     return df.withColumns(changes)
 
