@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbledger import config as C
 from ebbledger.functions.scalars import balance_bucket, chapter_bucket, flag, zero_if_null
@@ -88,6 +89,14 @@ def raw_attributes(player_days: DataFrame, players: DataFrame, fraudsters: DataF
 # -- activity windows -------------------------------------------------------
 
 
+def _clock_seconds(c: str, kind: T.DataType) -> Column:
+    """Whole seconds since the epoch, never decreasing in time: wall clock for timestamps without a zone."""
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.unix_seconds(c)
+    days = F.unix_date(F.col(c).cast("date")).cast("bigint")
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
 def sum_in_windows(
     events: DataFrame,
     windows: DataFrame,
@@ -107,11 +116,13 @@ def sum_in_windows(
     two bins at a window's edges does it meet windows one by one.
     """
 
+    kind = events.schema[at].dataType
+
     def bin_of(c: str) -> Column:
-        micros = F.unix_micros(F.col(c).cast("timestamp"))
-        return F.floor(micros / F.lit(bin_seconds * 1_000_000)).cast("bigint")
+        return F.floor(_clock_seconds(c, kind) / bin_seconds).cast("bigint")
 
-    ordered = windows.where(F.col(start) <= F.col(end))
+    ends = {start: F.col(start).cast(kind), end: F.col(end).cast(kind)}
+    ordered = windows.withColumns(ends).where(F.col(start) <= F.col(end))
     covered = (
         ordered.where(bin_of(end) - bin_of(start) >= 2)
         .select(key, F.explode(F.sequence(bin_of(start) + 1, bin_of(end) - 1)).alias("_bin"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
-from ebbledger.functions.scalars import nearest_whole, percent, ratio, zero_if_null
+from ebbledger.functions.scalars import money_text, nearest_whole, percent, percent_text, ratio, zero_if_null
 from ebbledger.operators.filters import only_direction, with_any_flow, with_inflow
 
 # Everything the five views read, per day and optional dimension.
@@ -193,6 +193,13 @@ def summary_table(df: DataFrame, group_by: str, value: str) -> DataFrame:
     return grouped.withColumn("rate", ratio(F.col("metric_1"), F.col("metric_2"))).orderBy(group_by)
 
 
+def summary_display(summary: DataFrame, group_by: str) -> DataFrame:
+    """The summary table with its sum as money and its rate as a percentage, both as text."""
+    return summary.select(
+        group_by, money_text("metric_1").alias("metric_1"), "metric_2", percent_text("rate").alias("rate")
+    )
+
+
 def global_kpis(df: DataFrame, value: str, counted: Column) -> DataFrame:
     """One row: rows, total, and the counted rows as a percentage of all."""
     totals = df.agg(

@@ -457,6 +457,12 @@ def a22_summary_table(spark, sf):
     return rounded(metrics.summary_table(_table(spark, sf, "orders"), "o_orderpriority", "o_totalprice"), "metric_1", "rate")
 
 
+@query
+def a22_summary_display(spark, sf):
+    summary = metrics.summary_table(_table(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
+    return metrics.summary_display(summary, "o_orderpriority")
+
+
 @query
 def a23_global_kpis(spark, sf):
     kpis = metrics.global_kpis(_table(spark, sf, "orders"), "o_totalprice", F.col("o_orderstatus") == "F")

@@ -24,9 +24,9 @@ NARROW_COLUMNS = (
 
 
 def load_serving(table: DataFrame, as_of=None, days: int | None = None) -> DataFrame:
-    """The wide fact's 52 columns, newest day first; with `days`, only that many days back."""
+    """The wide fact's 52 columns, newest day first; with `days`, only that many days back (0 is no limit)."""
     df = table.select(*C.WIDE_COLUMNS)
-    if days is not None:
+    if days:
         df = df.where(F.col("date") >= days_before(as_of, days))
     return df.orderBy(F.col("date").desc())
 

@@ -126,6 +126,27 @@ def test_sum_in_windows_equals_brute_force(spark, seed, bin_seconds):
     assert {r.k: r.total for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_sum_in_windows_across_a_clock_change(spark, kind):
+    """Hourly bins around the days the clocks change, against the plain range join."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rng = random.Random(7)
+        for day in ("2024-03-09T20:00:00", "2024-11-02T20:00:00"):
+            begin = datetime.fromisoformat(day)
+            at = lambda: (begin + timedelta(minutes=rng.randrange(0, 900))).isoformat()
+            events = spark.createDataFrame([("k", at(), 1) for _ in range(200)], "k string, t string, v bigint")
+            windows = spark.createDataFrame([("k", at(), at()) for _ in range(60)], "k string, s string, e string")
+            events = events.withColumn("t", F.col("t").cast(kind))
+            windows = windows.withColumns({c: F.col(c).cast(kind) for c in ("s", "e")})
+            plain = windows.join(events, "k").where("t BETWEEN s AND e").agg(F.sum("v")).first()[0]
+            got = joins.sum_in_windows(events, windows, "k", "t", "s", "e", "v", "total", 3600).first().total
+            assert got == plain > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_latest_batch(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "batch int, v string")
     assert [r.v for r in joins.latest_batch(df, F.col("batch")).collect()] == ["d"]
