@@ -123,20 +123,13 @@ def sum_in_windows(
 
     ends = {start: F.col(start).cast(kind), end: F.col(end).cast(kind)}
     ordered = windows.withColumns(ends).where(F.col(start) <= F.col(end))
-    covered = (
-        ordered.where(bin_of(end) - bin_of(start) >= 2)
-        .select(key, F.explode(F.sequence(bin_of(start) + 1, bin_of(end) - 1)).alias("_bin"))
-        .groupBy(key, "_bin")
+    whole = (bin_of(start) < F.col("_bin")) & (F.col("_bin") < bin_of(end))
+    spans = (
+        ordered.select(key, start, end, F.explode(F.sequence(bin_of(start), bin_of(end))).alias("_bin"))
+        .select(key, "_bin", F.when(~whole, F.col(start)).alias("_start"), F.when(~whole, F.col(end)).alias("_end"))
+        .groupBy(key, "_bin", "_start", "_end")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    edges = ordered.select(
-        key,
-        F.explode(F.array_distinct(F.array(bin_of(start), bin_of(end)))).alias("_bin"),
-        F.lit(1).cast("bigint").alias("_times"),
-        F.col(start).alias("_start"),
-        F.col(end).alias("_end"),
-    )
-    spans = covered.unionByName(edges, allowMissingColumns=True)
     points = events.where(F.col(at).isNotNull()).select(
         key, F.col(at).alias("_at"), F.col(value).alias("_value"), bin_of(at).alias("_bin")
     )

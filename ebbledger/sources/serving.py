@@ -24,11 +24,14 @@ NARROW_COLUMNS = (
 
 
 def load_serving(table: DataFrame, as_of=None, days: int | None = None) -> DataFrame:
-    """The wide fact's 52 columns, newest day first; with `days`, only that many days back (0 is no limit)."""
+    """The wide fact's 52 columns, newest day first; with `days`, only that many days back (0 is no limit).
+
+    The dimensions break ties, so that the sort can spread one day over tasks.
+    """
     df = table.select(*C.WIDE_COLUMNS)
     if days:
         df = df.where(F.col("date") >= days_before(as_of, days))
-    return df.orderBy(F.col("date").desc())
+    return df.orderBy(F.col("date").desc(), *C.DIMENSIONS)
 
 
 def load_narrow(table: DataFrame, as_of, days: int, cap: int = C.NARROW_LOAD_CAP) -> DataFrame:

@@ -3,14 +3,17 @@
 from datetime import date, timedelta
 
 import pytest
-from fixtures import DAY, TODAY, bubble, events, fraudsters, generation, inputs, reward
+from fixtures import DAY, TODAY, bubble, events, fraudsters, generation, inputs, player_days, reward
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
 from ebbledger.operators import checks, flows
+from ebbledger.operators.metrics import daily_sums, kpis
 from ebbledger.operators.joins import not_in, without
 from ebbledger.plans.facts import build_long, build_narrow, build_wide, player_rows
+from ebbledger.sources.inputs import scan_player_days
+from ebbledger.sources.serving import normalise
 
 ESTIMATES = {0: 12.0, 1: 6.0, 2: 4.0, 3: 2.0}
 
@@ -62,6 +65,32 @@ def test_one_scan_equals_two_branches(spark):
     assert two.count() == 7
 
 
+def test_coded_sources_equal_named_ones(spark):
+    rows = [reward(s, n) for n, s in enumerate(C.INFLOW_SOURCES)] + [
+        reward("rewards_daily", 7), reward("rewards_other", 2), generation(-12, 1), bubble(30), bubble(3)
+    ]
+    given = events(spark, rows)
+    coded = {r.source: (r.inflow_outflow, r.sum_value, r.cnt) for r in flows.flows(given, "rest").collect()}
+    named = {r.source: (r.inflow_outflow, r.sum_value, r.cnt) for r in flows.flows(given).collect()}
+    assert coded.pop("rest") == ("inflow", 9.0, 2.0)
+    assert coded == {s: v for s, v in named.items() if s in C.LISTED_SOURCES} and len(coded) == 20
+
+
+def test_outflow_of_either_sign_reads_the_same_in_the_views(spark):
+    """Positive deltas make the outflow negative; the view shows it below zero all the same."""
+    kpi = lambda delta: kpis(
+        daily_sums(normalise(build_wide(inputs(spark, [reward("rewards_race", 50), generation(delta, 1, 1)]), TODAY)))
+    ).first()
+    assert kpi(-20) == kpi(20)
+    assert kpi(20).total_outflow == -20.0 and kpi(20).consumption == 40.0
+
+
+def test_text_version_is_refused(spark):
+    days = player_days(spark, [{}]).withColumn("last_app_version", F.lit("1.2.3"))
+    with pytest.raises(ValueError, match="last_app_version is string"):
+        scan_player_days(days)
+
+
 def test_long_fact_sample(spark):
     given = inputs(spark, [reward("rewards_race", 500), generation(800, 1, 4), generation(-0.0, 1, 0), bubble(-400)])
     rows = {r.source: r for r in build_long(given, TODAY).collect()}
