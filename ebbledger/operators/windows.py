@@ -16,7 +16,7 @@ def player_day_outflow(long_rows: DataFrame) -> DataFrame:
     leaves the rows partitioned and sorted by this key.
     """
     spent = F.when(F.col("inflow_outflow") == C.OUTFLOW, F.col("sum_value")).otherwise(0)
-    whole = Window.partitionBy("date", "distinct_id")
+    whole = Window.partitionBy("distinct_id", "date")
     return long_rows.withColumn("total_outflow_per_player_per_day", F.sum(spent).over(whole))
 
 

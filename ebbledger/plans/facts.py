@@ -23,6 +23,9 @@ from ebbledger.sources.inputs import Inputs
 UNLISTED = "unlisted"
 GRAINS = ("bucket", "compat")
 
+# The player first: sorts compare a prefix of the first key, and there are few dates but many players.
+PLAYER_DAY = ["distinct_id", "date"]
+
 LONG_COLUMNS = (
     "date",
     "distinct_id",
@@ -48,7 +51,7 @@ def player_flows(inputs: Inputs, as_of, days: int = C.WIDE_DAYS, unlisted: str |
     """
     events = inputs.events.where(closed_open_window("date", as_of, days))
     attributes = bucket_attributes(inputs.player_days, inputs.players, inputs.fraudsters)
-    return flows(events, unlisted).join(attributes, ["date", "distinct_id"])
+    return flows(events, unlisted).join(attributes, PLAYER_DAY)
 
 
 def player_rows(inputs: Inputs, as_of, days: int = C.WIDE_DAYS) -> DataFrame:
@@ -80,7 +83,7 @@ def build_long(inputs: Inputs, as_of, days: int = C.LONG_DAYS) -> DataFrame:
     events = inputs.events.where(open_window("date", as_of, days))
     attributes = raw_attributes(inputs.player_days, inputs.players, inputs.fraudsters, as_of, days)
     kept = without(flows(null_rules(events, inputs.fraudsters)), inputs.fraudsters)
-    rows = kept.join(attributes, ["date", "distinct_id"], "left")
+    rows = kept.join(attributes, PLAYER_DAY, "left")
     whole = player_day_outflow(rows).withColumn(
         "last_version_of_day", F.coalesce("last_version_of_day", F.lit(0))
     )
