@@ -43,11 +43,6 @@ def without(df: DataFrame, excluded: DataFrame, key: str = "distinct_id") -> Dat
 # -- player attributes ------------------------------------------------------
 
 
-def allowed_players(players: DataFrame, fraudsters: DataFrame) -> DataFrame:
-    """Players of an allowed country that are not on the exclusion list."""
-    return not_in(players.where(country_allowed("first_country")), fraudsters)
-
-
 def with_player(df: DataFrame, players: DataFrame) -> DataFrame:
     """Left join to the player dimension, then the country rule, which drops the rows without a player."""
     return df.join(players, "distinct_id", "left").where(country_allowed("first_country"))

@@ -92,7 +92,7 @@ def test_text_version_is_refused(spark):
 
 
 def test_long_fact_sample(spark):
-    given = inputs(spark, [reward("rewards_race", 500), generation(800, 1, 4), generation(-0.0, 1, 0), bubble(-400)])
+    given = inputs(spark, [reward("rewards_race", 500), generation(800, 1, 4), bubble(-400)])
     rows = {r.source: r for r in build_long(given, TODAY).collect()}
     assert rows["rewards_race"].sum_value == 500.0 and rows["generation"].sum_value == -800.0
     assert {r.total_outflow_per_player_per_day for r in rows.values()} == {-1200.0}
