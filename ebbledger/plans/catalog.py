@@ -271,8 +271,14 @@ def f16_only_outflow(spark, sf):
 
 @query
 def j1_events_with_player_day(spark, sf):
-    days = _in(spark, sf).player_days
-    joined = _recent_events(spark, sf).join(days, ["date", "distinct_id"])
+    """The player-days are stored first, as they are on a cluster.
+
+    Then the join shuffles both sides itself and adaptive execution can split
+    a player with very many events; right behind the aggregation that derives
+    the player-days it could not.
+    """
+    days = _in(spark, sf).player_days.where(filters.closed_open_window("date", AS_OF, C.WIDE_DAYS))
+    joined = _recent_events(spark, sf).join(sinks.settle(days, "player-days"), facts.PLAYER_DAY)
     return joined.select(*EVENT_KEY, "first_chapter", "last_credit_balance")
 
 

@@ -12,7 +12,7 @@ from ebbledger.operators import checks, flows
 from ebbledger.operators.metrics import daily_sums, kpis
 from ebbledger.operators.joins import not_in, without
 from ebbledger.plans.facts import build_long, build_narrow, build_wide, player_rows
-from ebbledger.sources.inputs import scan_player_days
+from ebbledger.sources.inputs import scan_events, scan_player_days
 from ebbledger.sources.serving import normalise
 
 ESTIMATES = {0: 12.0, 1: 6.0, 2: 4.0, 3: 2.0}
@@ -215,6 +215,15 @@ def test_narrow_repeats_segment_outflow(spark):
     }
 
 
+def test_event_scan_windows(spark):
+    days = [TODAY - timedelta(days=n) for n in (0, 1, 2, 3)]
+    given = events(spark, [reward("rewards_race", 1, date=d) for d in days])
+    seen = lambda *how: sorted((TODAY - r.date).days for r in scan_events(given, *how).select("date").collect())
+    assert seen() == [0, 1, 2, 3]
+    assert seen(TODAY, 2) == [1, 2]
+    assert seen(TODAY, 2, False) == [0, 1, 2]
+
+
 def test_as_of_takes_text_too(spark):
     given = inputs(spark, [reward("rewards_race", 5)])
     assert build_wide(given, "2024-01-31").first().date == DAY == date(2024, 1, 30)

@@ -4,9 +4,12 @@ import re
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from ebbledger.operators import joins
+from ebbledger.plans.catalog import CATALOG
 from ebbledger.plans.facts import build_long, build_wide
+from ebbledger.sources import sinks
 from ebbledger.sources.inputs import AS_OF, benchmark_inputs, stored_inputs
 
 
@@ -87,6 +90,43 @@ def test_long_window_needs_no_shuffle_of_its_own(stored, large):
     assert window < join and "Exchange" not in text[window:join] and "Sort [" not in text[window:join]
 
 
+def test_hot_player_in_an_event_join_is_split(spark, large):
+    """A third of the events on one player: adaptive execution splits that partition, and no row is lost."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("distinct_id"),
+            F.md5(F.col("id").cast("string")).alias("payload"),
+        )
+        players = sinks.settle(rows.select("distinct_id").distinct().withColumn("first_country", F.lit("US")))
+        joined = joins.with_player(rows, players)
+        assert joined.agg(F.count(F.lit(1))).first()[0] == 60000
+        joined.collect()
+        assert "skew=true" in plan(joined)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["j1_events_with_player_day", "j2_events_with_player", "j5_events_not_in_list", "j6_spend_in_windows"])
+def test_event_joins_can_be_split(spark, large, name):
+    """Adaptive execution splits a hot key only where both sides of the join are shuffles of their own."""
+    text = plan(CATALOG[name](spark, f"{DATA}/sf0.001"))
+    lines = text.splitlines()
+    joined = next(n for n, line in enumerate(lines) if "SortMergeJoin [" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    sides = [n for n in range(joined + 1, len(lines)) if "Sort [" in lines[n] and depth(lines[n]) == depth(lines[joined]) + 3]
+    assert len(sides) == 2 and all("ENSURE_REQUIREMENTS" in lines[n + 1] for n in sides)
+
+
 def test_views_prune_the_pivot(stored):
     from ebbledger.operators.metrics import daily_sums, kpis
     from ebbledger.sources.serving import normalise
