@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, langid
+from ebbledger.llm import bpe, langid, quality_mil, toxicity
 from ebbledger.llm.common import fold, table
 
 #: Vocabulary of the BPE query.
@@ -22,6 +22,28 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE))
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text and one label; a document with several labels comes several times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", label), "doc_id")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 4)
+    model = quality_mil.learn(labelled(spark, sf_dir, "quality").filter(part != 2))
+    scored = quality_mil.score(table(spark, sf_dir, "documents"), model)
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out(part == 2), "score", predicted, "n_passages", "top_passage", "top_weight")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 5)
+    lexicon = toxicity.learn(labelled(spark, sf_dir, "toxic").filter(part != 0))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), lexicon)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out(part == 0), "score", predicted, "n_matches")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     part = fold(F.col("doc_id"), 5)
@@ -30,7 +52,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
+    "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
 }
 ORACLE: dict[str, str] = {}
