@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, langid, quality_mil, toxicity
+from ebbledger.llm import bpe, langid, near_dup, quality_mil, toxicity
 from ebbledger.llm.common import fold, table
 
 #: Vocabulary of the BPE query.
@@ -51,10 +51,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, known).select("doc_id", held_out(part == 0), "lang_pred", "score", "rejected")
 
 
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_minhash_near_dup": op9_minhash_near_dup,
 }
 ORACLE: dict[str, str] = {}
