@@ -18,25 +18,32 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 from ebbledger.llm.common import text_rows
 
-#: Fixed: splits text before the merges, as published with the vocabulary.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Between these, a single space always begins a pre-token.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_old = [chr(c) for c in range(0x558)]
+_letter = "".join(c for c in _old if unicodedata.category(c)[0] == "L")
+_number = "".join(c for c in _old if unicodedata.category(c)[0] == "N")
+_space = "\t\n\v\f\r \x85\xa0"
 #: Up to here every version of Unicode in use agrees on what a letter is.
 OLD = re.compile(r"[\x00-\u0557]*\Z")
+#: Fixed, as published with the vocabulary: contractions; letters, numbers or other signs after at most one space; space.
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_letter}]+| ?[{_number}]+| ?[^{_space}{_letter}{_number}]+|[{_space}]+(?![^{_space}])|[{_space}]+")
+#: Between these, a single space always begins a pre-token; a text without the second kind has no other spaces.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+ODD = re.compile(r"\A | \Z| \s|\s ")
 #: Pieces of text a worker remembers between batches; at this many it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,11 +65,7 @@ class Merges:
         self.ids = {to_bytes(token): i for token, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
         self.text = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        lengths: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            lengths.setdefault(token[-3:], {1, 2}).add(len(token))
-        #: By the last three bytes of a prefix, the lengths that a token ending there can have.
-        self.tails = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}
+        self.size = {token: len(b) for token, b in self.text.items()}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(told["model"]["merges"]):
@@ -70,10 +73,26 @@ class Merges:
             a, b, made = vocab[left], vocab[right], vocab[left + right]
             self.pairs[a, b] = rank, made
             self.parts.setdefault(made, (a, b, rank))
+        #: Every beginning of a token is a state: what of the text so far can still become one.
+        self.begins = [b"", *dict.fromkeys(token[:n] for token in self.ids for n in range(1, len(token) + 1))]
+        self.states = {begin: i for i, begin in enumerate(self.begins)}
+        self.moves: dict[int, int] = {}
+        self.ends: list[list[tuple[int, int]] | None] = [None] * len(self.begins)
         self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
+    def move(self, state: int, byte: int) -> int:
+        """The longest end of the text so far, with one more byte, that begins a token."""
+        seen = self.begins[state] + bytes([byte])
+        to = next(self.states[seen[n:]] for n in range(len(seen) + 1) if seen[n:] in self.states)
+        self.moves[state << 8 | byte] = to
+        if self.ends[to] is None:
+            seen = self.begins[to]
+            suffixes = ((len(seen) - n, self.ids.get(seen[n:])) for n in range(len(seen)))
+            self.ends[to] = [(n, token) for n, token in suffixes if token is not None and self.whole(token)]
+        return to
+
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge while the token grows, with the rank of the merge that made each."""
         known = self._spines.get((token, side))
@@ -94,27 +113,25 @@ class Merges:
         the same time merge if their rank is due before either grows on. At equal
         ranks the pair further left goes first.
         """
-        known = self._stable.get((a, b))
-        if known is None:
-            left, right = self.spine(a, 1), self.spine(b, 0)
-            i = j = 0
-            known = True
-            while True:
-                grows_left = left[i + 1][1] if i + 1 < len(left) else len(self.pairs)
-                grows_right = right[j + 1][1] if j + 1 < len(right) else len(self.pairs)
-                due = self.pairs.get((left[i][0], right[j][0]))
-                if due and due[0] < grows_left and due[0] <= grows_right:
-                    known = False
-                    break
-                if grows_left == grows_right == len(self.pairs):
-                    break
-                if grows_left <= grows_right:
-                    i += 1
-                else:
-                    j += 1
-            if len(self._stable) > 2_000_000:
-                self._stable.clear()
-            self._stable[a, b] = known
+        left, right = self.spine(a, 1), self.spine(b, 0)
+        i = j = 0
+        known = True
+        while True:
+            grows_left = left[i + 1][1] if i + 1 < len(left) else len(self.pairs)
+            grows_right = right[j + 1][1] if j + 1 < len(right) else len(self.pairs)
+            due = self.pairs.get((left[i][0], right[j][0]))
+            if due and due[0] < grows_left and due[0] <= grows_right:
+                known = False
+                break
+            if grows_left == grows_right == len(self.pairs):
+                break
+            if grows_left <= grows_right:
+                i += 1
+            else:
+                j += 1
+        if len(self.apart) > 500_000:
+            self.apart.clear()
+        self.apart[a << 32 | b] = known
         return known
 
     def whole(self, token: int) -> bool:
@@ -133,74 +150,84 @@ class Merges:
 
 
 class Encoder:
-    """Encodes texts with a merge table; remembers words between calls, up to a bound."""
+    """Encodes texts with a merge table; remembers pieces of text between calls, up to a bound."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.pieces: dict[str, list[int]] = {}
-        self.split = regex.compile(SPLIT)
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.marks = re.compile("(" + "|".join(map(re.escape, merges.special)) + ")") if merges.special else None
 
     def words_of(self, piece: str) -> list[str]:
-        """The pre-tokens of a text. Letters newer than the pattern's library are left to the tokenizer's own splitter."""
+        """The pre-tokens of a text. Letters newer than the pattern's classes are left to the tokenizer's own splitter."""
         if OLD.match(piece):
-            return self.split.findall(piece)
+            return SPLIT.findall(piece)
         return [piece[a:b] for _, (a, b) in pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(piece)]
 
-    def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """The encodings of distinct words, by one depth-first walk through their trie.
 
         Sorted, the words are the trie's leaves in depth-first order: from one word
         to the next, the walk goes up to their common prefix, whose states stay,
-        and down the rest. last[d] is the last token of the first d bytes.
+        and down the rest. last[d] is the last token of the first d bytes, states[d]
+        says which tokens can end there. Ids are 32-bit numbers in a row.
         """
-        merges, ids, tails, text = self.merges, self.merges.ids, self.merges.tails, self.merges.text
-        found, path, last = {}, b"", [-1]
+        merges, moves, ends, apart = self.merges, self.merges.moves, self.merges.ends, self.merges.apart
+        size = merges.size
+        found, path, last, states = {}, b"", [-1], [0]
         for word in sorted(w.encode() for w in words):
             depth, most = 0, min(len(path), len(word))
             while depth < most and path[depth] == word[depth]:
                 depth += 1
-            del last[depth + 1 :]
-            for depth in range(depth + 1, len(word) + 1):
-                for length in tails.get(word[max(0, depth - 3) : depth], (2, 1)):
-                    begin = depth - length
-                    if begin >= 0 and (token := ids.get(word[begin:depth])) is not None and merges.whole(token) and (not begin or merges.stable(last[begin], token)):
+            del last[depth + 1 :], states[depth + 1 :]
+            state = states[depth]
+            for byte in word[depth:]:
+                depth += 1
+                to = moves.get(state << 8 | byte)
+                state = merges.move(state, byte) if to is None else to
+                states.append(state)
+                for length, token in ends[state]:
+                    if length == depth:
+                        last.append(token)
+                        break
+                    before = last[depth - length]
+                    fits = apart.get(before << 32 | token)
+                    if merges.stable(before, token) if fits is None else fits:
                         last.append(token)
                         break
             path, tokens, at = word, [], len(word)
             while at:
                 tokens.append(last[at])
-                at -= len(text[last[at]])
-            found[word.decode()] = tokens[::-1]
+                at -= size[last[at]]
+            found[word.decode()] = array("i", tokens[::-1]).tobytes()
         return found
 
-    def batch(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; each call's new words share one trie.
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers in a row; the words that are new in a call share one trie.
 
         A single space between two other characters always begins a pre-token, so
         texts are cut there first and whole pieces are looked up.
         """
-        cut = []
+        cut: list[list[tuple[str, list[str]]]] = []
         for text in texts:
             parts = [] if not text else self.marks.split(text) if self.marks and self.marks.search(text) else [text]
-            pieces = []
+            cut.append([])
             for part in parts:
-                if part in self.merges.special:
-                    pieces.append(part)
-                elif part:
-                    first, *rest = BETWEEN.split(part)
-                    pieces.append(first)
-                    pieces += [" " + x for x in rest]
-            cut.append(pieces)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
+                if part:
+                    head, *rest = [part] if part in self.merges.special else part.split(" ") if not ODD.search(part) else BETWEEN.split(part)
+                    cut[-1].append((head, rest))
+        if len(self.first) + len(self.later) > REMEMBERED:
+            self.first, self.later = {}, {}
         for mark, token in self.merges.special.items():
-            self.pieces[mark] = [token]
-        new = {piece: self.words_of(piece) for piece in set(chain.from_iterable(cut)) - self.pieces.keys()}
-        words = self.learn(set(chain.from_iterable(new.values())))
-        for piece, parts in new.items():
-            self.pieces[piece] = list(chain.from_iterable(map(words.__getitem__, parts)))
-        return [list(chain.from_iterable(map(self.pieces.__getitem__, pieces))) for pieces in cut]
+            self.first[mark] = array("i", [token]).tobytes()
+        heads = {x: self.words_of(x) for x in {head for parts in cut for head, _ in parts} - self.first.keys()}
+        rests = {x: self.words_of(" " + x) for x in set(chain.from_iterable(rest for parts in cut for _, rest in parts)) - self.later.keys()}
+        words = self.learn(set(chain.from_iterable(heads.values())) | set(chain.from_iterable(rests.values())))
+        for known, new in ((self.first, heads), (self.later, rests)):
+            for piece, parts in new.items():
+                known[piece] = b"".join([words[w] for w in parts])
+        first, later = self.first, self.later.__getitem__
+        return [b"".join([x for head, rest in parts for x in (first[head], *map(later, rest))]) for parts in cut]
 
 
 _open: dict[str, Encoder] = {}
@@ -230,7 +257,9 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 ids = encoder.batch(piece.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "ids"])
 
     return text_rows(docs).withColumns({"doc_id": F.col("doc_id").cast("long")}).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -239,10 +268,18 @@ def decode(encoded: DataFrame, file: str) -> DataFrame:
     """doc_id, ids, text: the ids turned back into text; bytes that are not UTF-8 become U+FFFD."""
 
     def run(batches):
-        text = opened(file).merges.text
+        table = opened(file).merges.text
+        known = [table.get(i, b"") for i in range(max(table) + 1)]
+        size = np.array([len(x) for x in known])
+        begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint8)
         for batch in batches:
             for piece in slices(batch, "ids"):
-                texts = [b"".join([text[i] for i in ids]).decode("utf-8", "replace") for ids in piece.column("ids").to_pylist()]
+                lists = piece.column("ids")
+                ids, n = lists.flatten().to_numpy(), np.array(lists.value_lengths())
+                ends = np.cumsum(size[ids])
+                made = letters[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[ids] - ends + size[ids], size[ids])].tobytes()
+                cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))]
+                texts = [made[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, langid, near_dup, quality_mil, toxicity
-from ebbledger.llm.common import fold, table
+from ebbledger.llm import bpe, langid, near_dup, quality_mil, quality_rules, toxicity
+from ebbledger.llm.common import fold, stored, table
 
 #: Vocabulary of the BPE query.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,17 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", label), "doc_id")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stored(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rules = quality_rules.learn(measured.join(labels, "doc_id"))
+    failed = quality_rules.base_failed()
+    return measured.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"), quality_rules.fired(rules).alias("rule"),
+    )
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(F.col("doc_id"), 4)
     model = quality_mil.learn(labelled(spark, sf_dir, "quality").filter(part != 2))
@@ -56,6 +67,7 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
