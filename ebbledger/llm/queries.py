@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, langid, near_dup, quality_mil, quality_rules, toxicity
+from ebbledger.llm import bpe, langid, near_dup, pii, quality_mil, quality_rules, toxicity
 from ebbledger.llm.common import fold, stored, table
 
 #: Vocabulary of the BPE query.
@@ -66,6 +66,10 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
@@ -73,5 +77,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_language_id": op8_language_id,
     "op9_minhash_near_dup": op9_minhash_near_dup,
+    "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {}
