@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, langid, near_dup, pii, quality_mil, quality_rules, toxicity
+from ebbledger.llm import bpe, langid, mixing, near_dup, pii, quality_mil, quality_rules, toxicity
 from ebbledger.llm.common import fold, stored, table
 
 #: Vocabulary of the BPE query.
@@ -55,6 +55,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(part == 0), "score", predicted, "n_matches")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    plan = mixing.planned(docs)
+    return mixing.mixed(docs.select("doc_id", "source"), plan).withColumnsRenamed({"_epoch": "epoch", "_block": "block"})
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     part = fold(F.col("doc_id"), 5)
@@ -75,8 +81,9 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_mixing": mixing.oracle_sql()}
