@@ -9,8 +9,9 @@
    at most m hits in n + 1 draws; once it is under `MISS`, the pair is dropped.
 4. Each class is confirmed against the best of its surviving hubs, on full sets.
 5. Buckets that still hold more than one component are compared member by member
-   in blocks inside the tasks; only pairs across components, in the first band
-   that they share, and not dropped by step 3, come out, to be confirmed in turn.
+   in blocks inside the tasks, across components only. First each member's most
+   similar one is confirmed, one pair a member. Then, for the components that are
+   left, every pair that step 3 does not drop is, in the first band that it shares.
    So a bucket of any size loses no link that its bands propose.
 
 The number of bands follows from the threshold and `MISS`.
@@ -172,9 +173,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "sa", "b", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def crossing(members: DataFrame, bands: int, threshold: float) -> DataFrame:
-    """a, b of members of one bucket but different components that the checks leave, each in its first common band.
+def crossing(members: DataFrame, bands: int, threshold: float, best: bool) -> DataFrame:
+    """a, b of members of one bucket but different components that the checks leave.
 
+    With best, only the pair of each member with the most equal values in a block;
+    else all pairs, each in its first common band.
     members: bucket, band, parts (blocks of the bucket), root, key, signature.
     """
     parts = F.col("parts")
@@ -194,10 +197,13 @@ def crossing(members: DataFrame, bands: int, threshold: float) -> DataFrame:
         x, y = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)),) * 2
         out: list[tuple[bytes, bytes]] = []
         for one in x:  # a row against a block: memory stays small
-            mates = y[(roots[y] != roots[one]) & ((y > one) | (i != j))]
+            mates = y[(roots[y] != roots[one]) & ((y > one) | (i != j) | best)]
             if len(mates):
-                alive, _ = compared(np.broadcast_to(signature[one], (len(mates), signature.shape[1])), signature[mates], threshold)
-                for mate in mates[alive]:
+                alive, equal = compared(np.broadcast_to(signature[one], (len(mates), signature.shape[1])), signature[mates], threshold)
+                if best and len(alive):
+                    mate = mates[alive[np.argmax(equal)]]
+                    out.append((min(keys[one], keys[mate]), max(keys[one], keys[mate])))
+                for mate in mates[alive] if not best else ():
                     same = (signature[one].reshape(bands, ROWS) == signature[mate].reshape(bands, ROWS)).all(1)
                     if np.argmax(same) == band:
                         out.append((min(keys[one], keys[mate]), max(keys[one], keys[mate])))
@@ -219,6 +225,16 @@ def crossing(members: DataFrame, bands: int, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "a binary, b binary")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links: only edges between roots are left to connect."""
+    edges = links
+    for side in ("a", "b"):
+        edges = edges.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}")), side)
+    edges = edges.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    onto = components(edges).select(F.col("key").alias("root"), F.col("root").alias("onto"))
+    return stored(roots.join(onto, "root", "left").select("key", F.coalesce("onto", "root").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -243,12 +259,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = pairs.join(signatures.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b").join(signatures.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a")
     best = checked(pairs, threshold).groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
     links = stored(confirmed(stored(best, "pairs"), sets, percent), "links")
-    roots = components(links)
-    in_bucket = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = in_bucket.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("n").alias("n")).filter("first <> last").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rest = in_bucket.select("bucket", "band", "root", "key").join(mixed, "bucket").join(signatures, "key")
-    late = stored(confirmed(stored(crossing(rest, bands, threshold), "pairs"), sets, percent), "links")
-    roots = components(links.union(late))
+    roots = ids.select("key").join(components(links), "key", "left")
+    roots = stored(roots.select("key", F.coalesce("root", "key").alias("root")), "roots")
+    for one_each in (True, False):
+        in_bucket = shared.join(roots, "key")
+        mixed = in_bucket.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("n").alias("n")).filter("first <> last").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        rest = in_bucket.select("bucket", "band", "root", "key").join(mixed, "bucket").join(signatures, "key")
+        pairs = stored(crossing(rest, bands, threshold, one_each).distinct(), "pairs")
+        roots = merged(roots, confirmed(pairs, sets, percent))
     of_class = classes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component"))
     of_class = of_class.join(least, "root").select("key", "component")
