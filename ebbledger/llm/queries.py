@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, langid, mixing, near_dup, pii, quality_mil, quality_rules, toxicity
+from ebbledger.llm import bpe, hamming_ann, langid, mixing, near_dup, pii, quality_mil, quality_rules, toxicity
 from ebbledger.llm.common import fold, stored, table
 
 #: Vocabulary of the BPE query.
@@ -47,6 +47,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(part == 2), "score", predicted, "n_passages", "top_passage", "top_weight")
 
 
+def op5_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(F.col("doc_id"), 5)
     lexicon = toxicity.learn(labelled(spark, sf_dir, "toxic").filter(part != 0))
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
+    "op5_hamming_ann": op5_hamming_ann,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
