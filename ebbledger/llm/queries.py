@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, hamming_ann, langid, mixing, near_dup, pii, quality_mil, quality_rules, toxicity
+from ebbledger.llm import bpe, hamming_ann, langid, mixing, near_dup, pii, quality_mil, quality_rules, suffix_dedup, toxicity
 from ebbledger.llm.common import fold, stored, table
 
 #: Vocabulary of the BPE query.
@@ -39,6 +39,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), length=400)
+    gone = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(F.col("doc_id"), 4)
     model = quality_mil.learn(labelled(spark, sf_dir, "quality").filter(part != 2))
@@ -82,6 +88,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
     "op5_hamming_ann": op5_hamming_ann,
