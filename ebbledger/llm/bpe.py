@@ -43,7 +43,7 @@ SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_letter}]+| ?[{_number}]+| ?[^{
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\A | \Z| \s|\s ")
 #: Pieces of text a worker remembers between batches; at this many it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,18 +53,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def vocabulary(file: str) -> tuple[dict, dict[bytes, int], dict[str, int], dict[int, bytes]]:
+    """What a tokenizer file says, its ids by bytes, its special tokens, and the bytes of all ids."""
+    with open(file, encoding="utf-8") as f:
+        told = json.load(f)
+    letters = byte_letters()
+    ids = {bytes(letters[c] for c in token): i for token, i in told["model"]["vocab"].items()}
+    special = {x["content"]: x["id"] for x in told["added_tokens"]}
+    return told, ids, special, {i: b for b, i in ids.items()} | {i: s.encode() for s, i in special.items()}
+
+
 class Merges:
     """Vocabulary and merge order of a byte-level tokenizer file."""
 
     def __init__(self, file: str):
-        with open(file, encoding="utf-8") as f:
-            told = json.load(f)
-        letters = byte_letters()
-        to_bytes = lambda token: bytes(letters[c] for c in token)
+        told, self.ids, self.special, self.text = vocabulary(file)
         vocab = told["model"]["vocab"]
-        self.ids = {to_bytes(token): i for token, i in vocab.items()}
-        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
-        self.text = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.size = {token: len(b) for token, b in self.text.items()}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -240,7 +244,7 @@ def opened(file: str) -> Encoder:
     return _open[file]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about `most` bytes of a column, so that memory does not follow the batch."""
     size, begin = batch.column(column).nbytes, 0
     rows = max(1, batch.num_rows * most // max(1, size))
@@ -268,7 +272,7 @@ def decode(encoded: DataFrame, file: str) -> DataFrame:
     """doc_id, ids, text: the ids turned back into text; bytes that are not UTF-8 become U+FFFD."""
 
     def run(batches):
-        table = opened(file).merges.text
+        table = vocabulary(file)[3]
         known = [table.get(i, b"") for i in range(max(table) + 1)]
         size = np.array([len(x) for x in known])
         begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint8)

@@ -178,3 +178,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(o["score"], pa.float64()), pa.array(n, pa.int32()), pa.array(top, pa.int32()), pa.array(weight, pa.float64())], ["doc_id", "score", "n_passages", "top_passage", "top_weight"])
 
     return text_rows(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double, n_passages int, top_passage int, top_weight double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs that score `least` or more, filtered where they are read: no join back to the texts."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 2_000_000):
+                x, n = described(piece.column("text").to_pylist())
+                yield piece.filter(pa.array(model.forward(x, n)["score"] >= least))
+
+    return docs.mapInArrow(run, docs.schema)
