@@ -37,7 +37,7 @@ from ebbledger.llm.common import text_rows
 #: Lengths of word beginnings that can be terms.
 STEMS = range(4, 8)
 #: A term is kept when in this many toxic documents, and this many standard errors over chance; the heaviest so many.
-LEAST_TOXIC, LEAST_Z, MOST_TERMS = 4, 5.0, 2_000
+LEAST_TOXIC, LEAST_Z, MOST_TERMS = 5, 6.0, 2_000
 #: A phrase is an exception when in this many clean documents and in no toxic one; the most frequent so many.
 LEAST_CLEAN, MOST_EXCEPTIONS = 3, 5_000
 #: Documents that the curve is fitted on, at most.
@@ -149,7 +149,8 @@ def learn(labelled: DataFrame, exceptions: frozenset[str] = frozenset()) -> Lexi
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .filter(F.col("bad") >= LEAST_TOXIC)
         .withColumn("weight", F.log(p / q))
-        .withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
+        .withColumn("pool", (F.col("bad") + F.col("good")) / (bad + good))
+        .withColumn("z", (F.col("bad") / bad - F.col("good") / good) / F.sqrt(F.col("pool") * (1 - F.col("pool")) * (1 / bad + 1 / good) + 1e-12))
         .filter((F.col("z") >= LEAST_Z) & (F.col("weight") > 1))
         .orderBy(F.desc("z"), "term")
         .limit(MOST_TERMS)

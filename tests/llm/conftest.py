@@ -1,0 +1,34 @@
+import random
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from plain import random_texts  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, words string, bucket int, score double, h1 long"
+
+
+def frame(spark, rows):
+    """Documents with columns whose names the operators use themselves."""
+    full = [(i, t, lang, source, len(t or ""), "k", "w", 1, 0.5, 7) for i, t, lang, source in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    """Null ids, texts, languages and sources; empty, blank, very long and repeated texts; copies; a repeated row."""
+    r = random.Random(5)
+    texts = random_texts(r, 90)
+    long = " ".join(f"w{r.randrange(50)}" for _ in range(30_000))
+    texts += [None, "", "   \n\t ", long, long + " more", texts[0], texts[0].upper(), "one two", "one two", "a" * 9000, " " * 3000]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}" if i % 7 else None) for i, t in enumerate(texts)]
+    rows += [rows[1], (None, texts[3], "en", "s0"), (None, "no id here", None, None)]
+    return rows, frame(spark, rows).repartition(5).cache()
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return frame(spark, [])
