@@ -16,7 +16,7 @@ only; a source with most of all documents is never sorted as a whole.
 
 All of it is Spark SQL expressions. A null source is a source of its own. Null and
 empty texts have no words: they come with every pass of their source, and a source
-without any word gets one pass. Documents without an id share a place in the order.
+without any word gets one pass. Where whole passes use the budget up there is no part. Documents without an id share a place in the order.
 Repeated rows count each, and come or stay away together.
 """
 
@@ -97,7 +97,7 @@ def planned(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPE
     last = inside.withColumn("upto", upto).filter(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max("key").alias("last_key"))
     out = weighed.join(ends.select(F.col("source").alias("s1"), F.col("block").alias("last_block")), F.col("source").eqNullSafe(F.col("s1")), "left")
     out = out.join(last.select(F.col("source").alias("s2"), "last_key"), F.col("source").eqNullSafe(F.col("s2")), "left")
-    return out.select("source", "tokens", "weight", "budget", "passes", "blocks", F.coalesce("last_block", "blocks").alias("last_block"), F.coalesce("last_key", F.lit("")).alias("last_key"))
+    return out.select("source", "tokens", "weight", "budget", "passes", "blocks", F.when(F.col("rest") > 0, F.coalesce("last_block", "blocks")).otherwise(-1).alias("last_block"), F.coalesce("last_key", F.lit("")).alias("last_key"))
 
 
 def mixed(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
@@ -138,5 +138,5 @@ passes AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS fu
 placed AS (SELECT w.*, full_passes, greatest(0, budget - full_passes * tokens) AS rest, ('0x' || substr(k, 1, 8))::BIGINT % blocks AS block
              FROM words w JOIN passes p ON w.source IS NOT DISTINCT FROM p.source),
 run AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY block, k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed),
-times AS (SELECT doc_id, source, n, block, full_passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS times FROM run)
+times AS (SELECT doc_id, source, n, block, full_passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM run)
 SELECT doc_id, source, unnest(range(1, times + 1))::BIGINT AS epoch, block::BIGINT AS block FROM times WHERE times > 0"""
