@@ -1,13 +1,14 @@
 """Language identification by compression.
 
 Each language has a raw-content dictionary: a bounded sample of its own text. A
-text is cut into blocks, every block is compressed once with each dictionary,
-and the language with the smallest total wins. Blocks keep the dictionary in
-play throughout a long text. The score is the share saved over the runner-up;
-where it is under a margin, the row is marked rejected but keeps its best guess.
+text, in lower case, is cut into blocks, every block is compressed once with each
+dictionary, and the language with the smallest total wins. Blocks keep the
+dictionary in play throughout a long text. The score is the share saved over the
+runner-up; where it is under a margin, the row is marked rejected but keeps its
+best guess. For short texts with equal sizes, all their ends are compressed too.
 
 A null text, or one without a letter, is `und` with score 0. Ties go to the
-language first in alphabetical order. With a single language, texts get it with
+language with more learned documents, then to the first in alphabetical order. With a single language, texts get it with
 score 1; with none learned, every text is `und`. A text with a letter always
 gets a learned language. Rows stay one to one.
 """
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from ebbledger.llm.bpe import slices
 from ebbledger.llm.common import text_rows
 
-#: Bounds of a language's dictionary: documents sampled, and bytes kept.
-SAMPLE_DOCS, DICTIONARY_BYTES = 400, 112_000
-#: Bytes compressed at a time, and the compressor's level.
-BLOCK, LEVEL = 8_192, 3
+#: Bounds of a language's dictionary: documents sampled, characters of each, and bytes kept.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2_240, 400_000
+#: Bytes compressed at a time, the compressor's level, and up to what length ends are compared.
+BLOCK, LEVEL, SHORT = 4_096, 6, 200
 #: Under this share saved over the second best language, a row is marked rejected.
 MARGIN = 0.02
 
@@ -33,16 +34,15 @@ MARGIN = 0.02
 def dictionaries(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """For each lang, its texts in the order of their hashes: at most `docs` of them and `size` bytes.
 
-    The hash order is a sample that does not depend on partitions. The limit by
-    rank is applied on the map side first, so a hot language sends few rows.
+    Languages with more documents come first. The hash order is a sample that does
+    not depend on partitions. The limit by rank is applied on the map side first,
+    so a hot language sends few rows.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
-    share = size // max(1, docs // 8)
+    known = text_rows(labelled, "lang").filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    counts = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}  # one for each language
     rows = (
-        text_rows(labelled, "lang")
-        .filter("lang is not null and text is not null")
-        .filter(F.col("text").rlike(r"\p{L}"))
-        .select("lang", "doc_id", F.substring("text", 1, share).alias("text"))
+        known.select("lang", "doc_id", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= docs)
         .collect()
@@ -50,14 +50,14 @@ def dictionaries(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = DICTI
     by: dict[str, list[tuple[int, str]]] = {}
     for row in rows:
         by.setdefault(row["lang"], []).append((row["rank"], row["text"]))
-    return {lang: b"\n".join(text.encode() for _, text in sorted(texts))[:size] for lang, texts in sorted(by.items())}
+    return {lang: b"\n".join(text.encode() for _, text in sorted(texts))[:size] for lang, texts in sorted(by.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 class Sizes:
     """Compressors of all languages."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.by = []
         for lang in self.langs:
             known = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -65,10 +65,16 @@ class Sizes:
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False))
 
     def best(self, text: str) -> tuple[str, float]:
-        data = text.encode()
+        data = text.lower().encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        found = sorted((sum(len(c.compress(b)) for b in blocks), lang) for c, lang in zip(self.by, self.langs))
-        return found[0][1], 1.0 - found[0][0] / found[1][0] if len(found) > 1 else 1.0
+        found = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, c in enumerate(self.by))
+        if len(found) == 1:
+            return self.langs[0], 1.0
+        if len(data) < SHORT and found[0][0] == found[1][0]:
+            tied = [k for size, k in found if size == found[0][0]]
+            best = min((sum(len(self.by[k].compress(data[i:])) for i in range(len(data))), k) for k in tied)[1]
+            return self.langs[best], 0.0
+        return self.langs[found[0][1]], 1.0 - found[0][0] / found[1][0]
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
