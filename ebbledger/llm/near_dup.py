@@ -11,8 +11,10 @@
 5. Buckets that still hold more than one component are compared member by member
    in blocks inside the tasks, across components only. First each member's most
    similar one is confirmed, one pair a member. Then, for the components that are
-   left, every pair that step 3 does not drop is, in the first band that it shares.
-   So a bucket of any size loses no link that its bands propose.
+   left, every pair that step 3 does not drop is compared, in the first band that it
+   shares, on sets of hashes cut to 32 bits, and confirmed if those reach the
+   threshold. So a bucket of any size loses no link that its bands propose, and
+   sends out few pairs.
 
 The number of bands follows from the threshold and `MISS`.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from ebbledger.llm import bytewise
 from ebbledger.llm.bpe import slices
 from ebbledger.llm.common import stored, text_rows
-from ebbledger.llm.components import components
+from ebbledger.llm.components import components, jumped
 
 #: Values in a band; chance that a pair at the threshold shares no band, and that a step of the checks drops it.
 ROWS, MISS = 4, 1e-6
@@ -173,41 +175,69 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "sa", "b", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def crossing(members: DataFrame, bands: int, threshold: float, best: bool) -> DataFrame:
-    """a, b of members of one bucket but different components that the checks leave.
+def shortened(sets: DataFrame) -> DataFrame:
+    """key, short: the shingle hashes of each set cut to 32 bits, sorted."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(short, pa.binary())], ["key", "short"])
 
-    With best, only the pair of each member with the most equal values in a block;
-    else all pairs, each in its first common band.
-    members: bucket, band, parts (blocks of the bucket), root, key, signature.
+    return sets.mapInArrow(run, "key binary, short binary")
+
+
+def crossing(members: DataFrame, bands: int, threshold: float, best: bool) -> DataFrame:
+    """a, b of members of one bucket but different components that may be linked.
+
+    With best: for each member that is not of the largest component of a block, the
+    one with the most equal signature values. Else: of all pairs that the checks
+    leave, each in its first common band, those whose shortened sets reach the
+    threshold, give or take two hashes that fall together, as far as they join what
+    is not surely joined yet in the block. So pairs are few: one a member, and those
+    within a few hashes of the threshold.
+    members: bucket, band, parts (blocks of the bucket), root, key, signature, and short unless best.
     """
     parts = F.col("parts")
     own = F.pmod(F.xxhash64("key"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
-    blocks = members.withColumn("own", own).withColumn("other", other).select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "key", "signature")
-    group = ["bucket", "i", "j"]
+    group, rest = ["bucket", "i", "j"], ["own", "root", "key", "signature", *([] if best else ["short"])]
+    blocks = members.withColumn("own", own).withColumn("other", other).select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rest)
     blocks = blocks.repartition(*group).sortWithinPartitions(*group)
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         band, i, j = rows.column("band")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        own = rows.column("own").to_numpy()
+        own, n = rows.column("own").to_numpy(), rows.num_rows
         signature = array_of(rows.column("signature").combine_chunks(), np.uint32)
-        keys, roots = rows.column("key").to_pylist(), rows.column("root").to_pylist()
-        number = {r: n for n, r in enumerate(dict.fromkeys(roots))}
-        roots = np.array([number[r] for r in roots])
-        x, y = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)),) * 2
-        out: list[tuple[bytes, bytes]] = []
-        for one in x:  # a row against a block: memory stays small
-            mates = y[(roots[y] != roots[one]) & ((y > one) | (i != j) | best)]
-            if len(mates):
-                alive, equal = compared(np.broadcast_to(signature[one], (len(mates), signature.shape[1])), signature[mates], threshold)
-                if best and len(alive):
-                    mate = mates[alive[np.argmax(equal)]]
-                    out.append((min(keys[one], keys[mate]), max(keys[one], keys[mate])))
-                for mate in mates[alive] if not best else ():
-                    same = (signature[one].reshape(bands, ROWS) == signature[mate].reshape(bands, ROWS)).all(1)
-                    if np.argmax(same) == band:
-                        out.append((min(keys[one], keys[mate]), max(keys[one], keys[mate])))
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+        keys, names = rows.column("key").to_pylist(), rows.column("root").to_pylist()
+        short = [] if best else [np.frombuffer(x, np.uint32) for x in rows.column("short").to_pylist()]
+        number = {r: k for k, r in enumerate(dict.fromkeys(names))}
+        roots = np.array([number[r] for r in names])
+        few = roots != np.argmax(np.bincount(roots))  # any pair across components has one of these
+        out: list[tuple[int, int]] = []
+        for one in np.flatnonzero(few):  # a row against a block: memory stays small
+            other = (own == (j if own[one] == i else i)) & (roots != roots[one])
+            mates = np.flatnonzero(other if best else other & (~few | (np.arange(n) > one)))
+            alive, equal = compared(np.broadcast_to(signature[one], (len(mates), signature.shape[1])), signature[mates], threshold)
+            mates = mates[alive]
+            if best:
+                out += [(one, mates[np.argmax(equal)])] if len(mates) else []
+                continue
+            same = (signature[mates].reshape(-1, bands, ROWS) == signature[one].reshape(bands, ROWS)).all(2)
+            mates = mates[np.argmax(same, axis=1) == band]
+            if not len(mates):
+                continue
+            mine, sizes = short[one], np.array([len(short[m]) for m in mates])
+            flat = np.concatenate([short[m] for m in mates])
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes)
+            over = lambda more: both + more >= threshold * (len(mine) + sizes - both - more) - 1e-9  # noqa: E731, B023
+            for mate, sure in zip(mates[over(2)], over(-1)[over(2)]):
+                if roots[mate] != roots[one]:
+                    out.append((one, mate))
+                    if sure:  # else it may yet fail, and another pair of the two components hold
+                        roots[roots == roots[mate]] = roots[one]
+        pick = lambda f: pa.array([f(keys[x], keys[y]) for x, y in out], pa.binary())
+        return pa.RecordBatch.from_arrays([pick(min), pick(max)], ["a", "b"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -230,7 +260,9 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     edges = links
     for side in ("a", "b"):
         edges = edges.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}")), side)
-    edges = edges.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    edges = stored(edges.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return roots
     onto = components(edges).select(F.col("key").alias("root"), F.col("root").alias("onto"))
     return stored(roots.join(onto, "root", "left").select("key", F.coalesce("onto", "root").alias("root")), "roots")
 
@@ -258,13 +290,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = shared.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     pairs = pairs.join(signatures.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b").join(signatures.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a")
     best = checked(pairs, threshold).groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a"))
-    links = stored(confirmed(stored(best, "pairs"), sets, percent), "links")
-    roots = ids.select("key").join(components(links), "key", "left")
+    links = confirmed(stored(best, "pairs"), sets, percent)  # a hub is the smallest key of its bucket
+    roots = ids.select("key").join(jumped(links.select(F.col("b").alias("key"), F.col("a").alias("parent"))), "key", "left")
     roots = stored(roots.select("key", F.coalesce("root", "key").alias("root")), "roots")
     for one_each in (True, False):
         in_bucket = shared.join(roots, "key")
         mixed = in_bucket.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("n").alias("n")).filter("first <> last").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
         rest = in_bucket.select("bucket", "band", "root", "key").join(mixed, "bucket").join(signatures, "key")
+        if not one_each:
+            rest = rest.join(shortened(sets), "key")
         pairs = stored(crossing(rest, bands, threshold, one_each).distinct(), "pairs")
         roots = merged(roots, confirmed(pairs, sets, percent))
     of_class = classes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
