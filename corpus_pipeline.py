@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbledger.llm import bpe, mixing, near_dup, pii, quality_mil
-from ebbledger.llm.common import stored, table
+from ebbledger.llm.common import labelled, stored, table
 from ebbledger.llm.queries import BPE_FILE
 
 #: Documents under this score are rejected.
@@ -17,8 +17,7 @@ REPETITIONS = 2.0
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from all labels, accepts. It is applied to each row's own text."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality_mil.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality_mil.learn(labelled(docs, table(spark, sf_dir, "labels"), "quality", quality_mil.FIT_DOCS))
     return quality_mil.accepted(docs, model, LEAST_QUALITY)
 
 

@@ -48,3 +48,14 @@ def fold(key: Column, parts: int) -> Column:
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns alone: whatever else a table carries cannot clash."""
     return docs.select("doc_id", "text", *more)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text and one label of at most `most` labelled rows, the first in the order of a hash of their ids.
+
+    The labels sampled are bounded, so they are broadcast and no text is shuffled.
+    Rows without id or label drop out; a document with several labels comes several times.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).filter(f"doc_id is not null and {label} is not null")
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(most)
+    return text_rows(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbledger.llm import bpe, hamming_ann, langid, mixing, near_dup, pii, quality_mil, quality_rules, suffix_dedup, toxicity
-from ebbledger.llm.common import fold, stored, table
+from ebbledger.llm.common import fold, labelled, stored, table
 
 #: Vocabulary of the BPE query.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,33 +22,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """doc_id, text and one label; a document with several labels comes several times."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", label), "doc_id")
-
-
-def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = stored(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rules = quality_rules.learn(measured.join(labels, "doc_id"))
-    failed = quality_rules.base_failed()
-    return measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"), quality_rules.fired(rules).alias("rule"),
-    )
-
-
-def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"), length=400)
-    gone = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, n: a + n)
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
-
-
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = fold(F.col("doc_id"), 4)
-    model = quality_mil.learn(labelled(spark, sf_dir, "quality").filter(part != 2))
-    scored = quality_mil.score(table(spark, sf_dir, "documents"), model)
+    docs, labels, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4)
+    model = quality_mil.learn(labelled(docs, labels.filter(part != 2), "quality", quality_mil.FIT_DOCS))
+    scored = quality_mil.score(docs, model)
     predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out(part == 2), "score", predicted, "n_passages", "top_passage", "top_weight")
 
@@ -58,9 +35,9 @@ def op5_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = fold(F.col("doc_id"), 5)
-    lexicon = toxicity.learn(labelled(spark, sf_dir, "toxic").filter(part != 0))
-    scored = toxicity.score(table(spark, sf_dir, "documents"), lexicon)
+    docs, labels, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5)
+    lexicon = toxicity.learn(labelled(docs, labels.filter(part != 0), "toxic", toxicity.LEARN_DOCS))
+    scored = toxicity.score(docs, lexicon)
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     return scored.select("doc_id", held_out(part == 0), "score", predicted, "n_matches")
 

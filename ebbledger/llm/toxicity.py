@@ -40,8 +40,8 @@ STEMS = range(4, 8)
 LEAST_TOXIC, LEAST_Z, MOST_TERMS = 5, 6.0, 2_000
 #: A phrase is an exception when in this many clean documents and in no toxic one; the most frequent so many.
 LEAST_CLEAN, MOST_EXCEPTIONS = 3, 5_000
-#: Documents that the curve is fitted on, at most.
-FIT_DOCS = 20_000
+#: Labelled documents that the lexicon is learned from, and those that the curve is fitted on, at most.
+LEARN_DOCS, FIT_DOCS = 200_000, 20_000
 
 #: Fixed: letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁɡһαβεικνορτυχ", "abekmhopctyxijsdghabeiknoptux")) | {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i"}
@@ -179,8 +179,9 @@ def learn(labelled: DataFrame, exceptions: frozenset[str] = frozenset()) -> Lexi
         .collect()
     )
     lexicon.exceptions |= {row["phrase"] for row in clean}
-    sample = seen.orderBy(F.xxhash64("text"), "toxic").limit(FIT_DOCS)
-    rows = np.array(measured(sample.select(F.lit(0).cast("long").alias("doc_id"), "text", "toxic"), lexicon, "toxic").select("total", "share", "heaviest", "toxic").collect(), dtype=float)
+    numbers = measured(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null"), lexicon, "toxic")
+    sample = numbers.orderBy(F.xxhash64("doc_id"), "doc_id", "total", "share", "toxic").limit(FIT_DOCS)
+    rows = np.array(sample.select("total", "share", "heaviest", "toxic").collect(), dtype=float)
     lexicon.curve = fitted(rows[:, :3], (rows[:, 3] > 0).astype(float))
     return lexicon
 
