@@ -40,7 +40,6 @@ HOME_COUNTRY = "US"
 
 WIDE_DAYS = 14
 LONG_DAYS = 7
-NARROW_LOAD_CAP = 1_000_000
 
 # Inclusive integer ranges of the fact tables, and the label above all of them.
 CHAPTER_RANGES = ((0, 10, "0-10"), (11, 20, "11-20"), (21, 50, "21-50"))

@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from ebbledger.functions.scalars import date_pair
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """The same rows, by way of one row that holds them all.
+
+    For daily aggregates alone, which are as many as days, sources and values of a
+    dimension. No column can be pruned on the way, so every use of the frame in a
+    plan is the same exchange, and what lies behind it runs once.
+    """
+    held = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    return held.select(F.explode("_rows").alias("_row")).select("_row.*")
+
+
 def _days(first: Column, last: Column) -> Column:
     """All days from first to last; NULL, which explodes to nothing, when there are none."""
     return F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 DAY")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
-from ebbledger.functions.scalars import as_date, days_before, date_pair
+from ebbledger.functions.scalars import as_date, days_before
 
 # -- windows ----------------------------------------------------------------
 
@@ -66,11 +66,20 @@ def only_direction(long_fact: DataFrame, direction: str) -> DataFrame:
 
 
 def between_dates(df: DataFrame, date_range) -> DataFrame:
-    """Rows in the range, both ends included; an unusable range filters nothing."""
-    pair = date_pair(date_range)
-    if pair is None:
+    """Rows in the range, both ends included; None filters nothing, and a None end leaves that side open.
+
+    Anything else that is not a pair of dates raises: a misspelt date must not return everything.
+    """
+    if date_range is None:
         return df
-    return df.where(F.col("date").between(F.lit(pair[0]), F.lit(pair[1])))
+    if not isinstance(date_range, (tuple, list)) or len(date_range) != 2:
+        raise ValueError(f"not a pair of dates: {date_range!r}")
+    first, last = (as_date(end) for end in date_range)
+    if first is None and last is None:
+        raise ValueError("a range needs one end at least")
+    if first is not None:
+        df = df.where(F.col("date") >= F.lit(first))
+    return df if last is None else df.where(F.col("date") <= F.lit(last))
 
 
 def in_segments(df: DataFrame, selected: Mapping[str, list] | None) -> DataFrame:

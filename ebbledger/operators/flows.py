@@ -39,19 +39,6 @@ def bubble_count() -> Column:
     return F.sum(F.when(F.col("source") == C.BUBBLE, 1).otherwise(0))
 
 
-def _listed() -> Column:
-    return F.array(*[F.lit(s) for s in C.LISTED_SOURCES])
-
-
-def source_code(name: Column) -> Column:
-    """The place of a source in the fixed lists, 0 for any other."""
-    return F.array_position(_listed(), name).cast("tinyint")
-
-
-def source_name(code: Column, unlisted: str) -> Column:
-    return F.when(code == 0, unlisted).otherwise(F.element_at(_listed(), F.when(code > 0, code.cast("int"))))
-
-
 def inflow(events: DataFrame) -> DataFrame:
     """Credits gained: reward events that give credits."""
     kept = events.where(has_timestamp() & country_allowed("mp_country_code") & is_reward() & gives_credits())
@@ -79,36 +66,33 @@ def combine(gained: DataFrame, spent: DataFrame) -> DataFrame:
     )
 
 
-def flows(events: DataFrame, unlisted: str | None = None) -> DataFrame:
-    """The same rows as combine(inflow, outflow), from one scan and one shuffle.
+def credit_moves(events: DataFrame) -> DataFrame:
+    """One row per event that moves credits: how many, and how many game events it stands for.
 
-    No spending event is a reward, so each event belongs to one direction and
-    one aggregation serves both.  It is partial before the shuffle: a player
-    or source with a third of all events sends one row per map task.
-
-    With `unlisted`, sources outside the fixed lists share that one name,
-    which bounds the rows per player-day by the length of the lists, and the
-    shuffle carries a source as its place in the lists, one byte.
+    No spending event is a reward, so each event belongs to one direction.
     """
     gained = ~is_spending()
-    name = F.col("mp_event_name")
-    rows = events.where(is_credit_event()).select(
+    return events.where(is_credit_event()).select(
         "date",
         "distinct_id",
-        (name if unlisted is None else source_code(name)).alias("_key"),
+        F.col("mp_event_name").alias("source"),
         F.when(gained, F.col("item_quantity_1")).otherwise(spent_credits()).alias("_value"),
         F.when(gained, F.lit(1.0)).otherwise(spending_events()).alias("_events"),
     )
-    bubble = C.BUBBLE if unlisted is None else C.LISTED_SOURCES.index(C.BUBBLE) + 1
-    bubbles = F.sum(F.when(F.col("_key") == bubble, 1).otherwise(0))
-    summed = rows.groupBy("date", "distinct_id", "_key").agg(
-        F.sum("_value").alias("sum_value"), (F.sum("_events") + bubbles).alias("cnt")
+
+
+def flows(events: DataFrame) -> DataFrame:
+    """The same rows as combine(inflow, outflow), from one scan and one shuffle.
+
+    The aggregation is partial before the shuffle: a player or source with a
+    third of all events sends one row per map task.
+    """
+    summed = credit_moves(events).groupBy("date", "distinct_id", "source").agg(
+        F.sum("_value").alias("sum_value"), (F.sum("_events") + bubble_count()).alias("cnt")
     )
-    key = F.col("_key")
-    named = summed.withColumn("source", key if unlisted is None else source_name(key, unlisted))
     # The source decides the direction, so it stays out of the shuffle key.
     direction = F.when(F.col("source").isin(*C.OUTFLOW_SOURCES), C.OUTFLOW).otherwise(C.INFLOW)
-    return named.select("date", "distinct_id", "source", direction.alias("inflow_outflow"), "sum_value", "cnt")
+    return summed.select("date", "distinct_id", "source", direction.alias("inflow_outflow"), "sum_value", "cnt")
 
 
 def distinct_players(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +26,10 @@ def not_in(df: DataFrame, excluded: DataFrame, key: str = "distinct_id") -> Data
 def null_rules(df: DataFrame, excluded: DataFrame, key: str = "distinct_id") -> DataFrame:
     """What NOT IN does about NULL: one in the list lets nothing pass, a NULL key passes only an empty list.
 
-    Both facts about the list are one small aggregate of it.
+    Both facts about the list come from one small aggregate of it.
     """
-    rows, keyed = F.count(F.lit(1)), F.count(key)
-    has_null = excluded.agg(rows > keyed).scalar()
-    is_empty = excluded.agg(rows == 0).scalar()
+    about = excluded.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keyed"))).scalar()
+    has_null, is_empty = about["rows"] > about["keyed"], about["rows"] == 0
     # Two conditions, so that a later inner join on the key makes the second redundant.
     return df.where(~has_null).where(F.col(key).isNotNull() | is_empty)
 
@@ -105,36 +104,32 @@ def sum_in_windows(
 ) -> DataFrame:
     """Per key, the sum of `value` over events with `start <= at <= end`, once for every window they fall in.
 
-    Time is cut into bins and the join is on (key, bin), which spreads a key
-    with very many events over tasks.  Windows that cover a bin wholly are
-    counted, not repeated, so an event there meets one row; only in the one or
-    two bins at a window's edges does it meet windows one by one.
+    A window's sum is the running sum at its end less the one just before its
+    start. So the events of a key and the ends of its windows are put in one order
+    of time, and each end adds or takes away the sum so far: as many rows as
+    events and ends, whatever the number of windows an event is in or their
+    length. Time is cut into bins, which spreads a key with very many events over
+    tasks: sums run inside a (key, bin), over what the bins before it hold.
+    Sums of doubles can differ in their last digits from those taken one by one.
     """
 
     kind = events.schema[at].dataType
-
-    def bin_of(c: str) -> Column:
-        return F.floor(_clock_seconds(c, kind) / bin_seconds).cast("bigint")
-
-    ends = {start: F.col(start).cast(kind), end: F.col(end).cast(kind)}
-    ordered = windows.withColumns(ends).where(F.col(start) <= F.col(end))
-    whole = (bin_of(start) < F.col("_bin")) & (F.col("_bin") < bin_of(end))
-    spans = (
-        ordered.select(key, start, end, F.explode(F.sequence(bin_of(start), bin_of(end))).alias("_bin"))
-        .select(key, "_bin", F.when(~whole, F.col(start)).alias("_start"), F.when(~whole, F.col(end)).alias("_end"))
-        .groupBy(key, "_bin", "_start", "_end")
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    points = events.where(F.col(at).isNotNull()).select(
-        key, F.col(at).alias("_at"), F.col(value).alias("_value"), bin_of(at).alias("_bin")
-    )
-    inside = F.col("_start").isNull() | F.col("_at").between(F.col("_start"), F.col("_end"))
-    return (
-        points.join(spans, [key, "_bin"])
-        .where(inside)
-        .groupBy(key)
-        .agg(F.sum(F.col("_value") * F.col("_times")).alias(out))
-    )
+    bin_of = F.floor(_clock_seconds("_at", kind) / bin_seconds).cast("bigint").alias("_bin")
+    amount = events.schema[value].dataType.simpleString()
+    no_value, no_sign = F.lit(None).cast(amount).alias("_value"), F.lit(0).alias("_sign")
+    ordered = windows.select(key, F.col(start).cast(kind).alias("_start"), F.col(end).cast(kind).alias("_end")).where("_start <= _end")
+    points = events.where(F.col(at).isNotNull()).select(key, F.col(at).alias("_at"), F.lit(1).alias("_order"), F.col(value).alias("_value"), no_sign)
+    starts = ordered.select(key, F.col("_start").alias("_at"), F.lit(0).alias("_order"), no_value, F.lit(-1).alias("_sign"))
+    ends = ordered.select(key, F.col("_end").alias("_at"), F.lit(2).alias("_order"), no_value, F.lit(1).alias("_sign"))
+    rows = points.unionByName(starts).unionByName(ends).where(F.col(key).isNotNull()).select("*", bin_of)
+    sums = {"_sum": F.coalesce("_value", F.lit(0)), "_events": (F.col("_order") == 1).cast("bigint"), "_known": F.col("_value").isNotNull().cast("bigint")}
+    per_bin = rows.groupBy(key, "_bin").agg(*(F.sum(e).alias(n) for n, e in sums.items()))
+    earlier = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_bin.select(key, "_bin", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before{n}") for n in sums))
+    upto = Window.partitionBy(key, "_bin").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(key, "_bin", "_sign", *(F.sum(e).over(upto).alias(n) for n, e in sums.items())).where("_sign <> 0")
+    total = run.join(before, [key, "_bin"]).groupBy(key).agg(*(F.sum(F.col("_sign") * (F.col(n) + F.col(f"_before{n}"))).alias(n) for n in sums))
+    return total.where("_events > 0").select(key, F.when(F.col("_known") > 0, F.col("_sum")).alias(out))
 
 
 # -- latest batch -----------------------------------------------------------

@@ -28,6 +28,23 @@ def pivot_sources(flows: DataFrame, keys) -> DataFrame:
     return flows.groupBy(*keys).agg(*measures)
 
 
+def pivot_events(rows: DataFrame, keys) -> DataFrame:
+    """pivot_sources straight from single credit moves (source, _value, _events), without a row per source between.
+
+    One aggregation, combined before its shuffle. The count of the bubble source
+    is its events besides, unless all it has is unknown.
+    """
+    measures = []
+    for source in C.LISTED_SOURCES:
+        hit = f"source = '{source}'"
+        count = f"sum(CASE WHEN {hit} THEN _events ELSE 0 END)"
+        if source == C.BUBBLE:
+            count += f" + CASE WHEN count(CASE WHEN {hit} THEN _events END) > 0 THEN count_if({hit}) ELSE 0 END"
+        measures.append(F.expr(f"sum(CASE WHEN {hit} THEN _value ELSE 0 END)").alias(C.value_column(source)))
+        measures.append(F.expr(count).alias(C.count_column(source)))
+    return rows.groupBy(*keys).agg(*measures)
+
+
 def row_totals() -> dict[str, Column]:
     """Name -> sum of the value columns of a row; NULL if one of them is."""
     return {name: F.expr(" + ".join(map(C.value_column, parts))) for name, parts in C.TOTAL_PARTS.items()}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ebbledger import config as C
 from ebbledger.functions import scalars as E
-from ebbledger.operators import calendar, checks, filters, flows, joins, metrics, pivot, windows
+from ebbledger.operators import calendar, checks, filters, flows, joins, metrics, windows
 from ebbledger.plans import facts, views
 from ebbledger.sources import inputs as tables
 from ebbledger.sources import serving, sinks
@@ -55,8 +55,8 @@ def _long(spark, sf) -> DataFrame:
     return facts.build_long(_in(spark, sf), AS_OF)
 
 
-def _served(spark, sf) -> DataFrame:
-    return serving.normalise(_wide(spark, sf))
+def _served(spark, sf, segments=None) -> DataFrame:
+    return serving.normalise(serving.select_segments(_wide(spark, sf), segments))
 
 
 def _recent_events(spark, sf) -> DataFrame:
@@ -129,7 +129,7 @@ def s10_incremental_refresh(spark, sf):
     newest = joins.latest_batch(recent, F.col("date"))
     one_day = Inputs(newest, given.player_days, given.players, given.fraudsters)
     return rounded(
-        sinks.refresh_dates(facts.build_wide(one_day, AS_OF), path), *map(C.count_column, C.OUTFLOW_SOURCES)
+        sinks.refresh_dates(facts.build_wide(one_day, AS_OF), path, [AS_OF - timedelta(days=1)]), *map(C.count_column, C.OUTFLOW_SOURCES)
     )
 
 
@@ -148,8 +148,7 @@ def s12_load_filtered(spark, sf):
 
 @query
 def s13_load_covering(spark, sf):
-    stored = sinks.settle(_wide(spark, sf), "wide")
-    loaded = serving.load_covering(stored, AS_OF, (AS_OF - timedelta(days=10), AS_OF - timedelta(days=2)), 5)
+    loaded = serving.load_covering(_wide(spark, sf), AS_OF, (AS_OF - timedelta(days=10), AS_OF - timedelta(days=2)), 5)
     return loaded.select(*C.WIDE_KEYS, "players", *C.TOTALS)
 
 
@@ -271,14 +270,8 @@ def f16_only_outflow(spark, sf):
 
 @query
 def j1_events_with_player_day(spark, sf):
-    """The player-days are stored first, as they are on a cluster.
-
-    Then the join shuffles both sides itself and adaptive execution can split
-    a player with very many events; right behind the aggregation that derives
-    the player-days it could not.
-    """
     days = _in(spark, sf).player_days.where(filters.closed_open_window("date", AS_OF, C.WIDE_DAYS))
-    joined = _recent_events(spark, sf).join(sinks.settle(days, "player-days"), facts.PLAYER_DAY)
+    joined = _recent_events(spark, sf).join(days, facts.PLAYER_DAY)
     return joined.select(*EVENT_KEY, "first_chapter", "last_credit_balance")
 
 
@@ -331,9 +324,18 @@ def j7_latest_batch(spark, sf):
     return rounded(metrics.revenue_and_purchases(newest, ["o_custkey"], "o_totalprice"), "total_revenue")
 
 
+@query
+def j7_latest_batch_within(spark, sf):
+    """The newest order day looked for in two weeks only."""
+    orders = _table(spark, sf, "orders")
+    day = F.col("o_orderdate").cast("date")
+    newest = joins.latest_batch(orders, day, day.between(F.lit("1996-03-01").cast("date"), F.lit("1996-03-14").cast("date")))
+    return rounded(metrics.revenue_and_purchases(newest, ["o_custkey"], "o_totalprice"), "total_revenue")
+
+
 @query
 def j8_calendar_join(spark, sf):
-    daily = sinks.settle(metrics.daily_sums(_served(spark, sf), "last_balance_bucket", C.TOTALS), "daily")
+    daily = calendar.gathered(metrics.daily_sums(_served(spark, sf), "last_balance_bucket", C.TOTALS))
     return calendar.fill_grid(daily, "last_balance_bucket", WIDER)
 
 
@@ -373,8 +375,7 @@ def a5_distinct_players(spark, sf):
 
 @query
 def a6_pivot_sources(spark, sf):
-    rows = facts.player_flows(_in(spark, sf), AS_OF, C.WIDE_DAYS, facts.UNLISTED)
-    wide = pivot.pivot_sources(rows, ("date", "distinct_id", *C.DIMENSIONS))
+    wide = facts.player_rows(_in(spark, sf), AS_OF).select("date", "distinct_id", *C.DIMENSIONS, *C.MEASURES)
     return rounded(wide, *map(C.count_column, C.OUTFLOW_SOURCES))
 
 
@@ -458,6 +459,13 @@ def a21_versioned_spend(spark, sf):
     return metrics.versioned_spend_by_player(i.events, i.player_days, "last_app_version", (0.36, 0.38))
 
 
+@query
+def a21_versioned_spend_on_events(spark, sf):
+    """The version stands on the event, so events without a player-day count too."""
+    versioned = _in(spark, sf).events.withColumn("version_float", (F.col("event_id") % 5 + 35).cast("double") / 100)
+    return metrics.versioned_spend(versioned, ["distinct_id"], "version_float", (0.36, 0.38))
+
+
 @query
 def a22_summary_table(spark, sf):
     return rounded(metrics.summary_table(_table(spark, sf, "orders"), "o_orderpriority", "o_totalprice"), "metric_1", "rate")
@@ -524,11 +532,6 @@ def o4_by_source_and_direction(spark, sf):
     return rows.orderBy("source", "inflow_outflow")
 
 
-@query
-def o5_row_cap(spark, sf):
-    return _long(spark, sf).select("date", "distinct_id", "source", "sum_value").limit(C.NARROW_LOAD_CAP)
-
-
 @query
 def u1_union_all(spark, sf):
     recent = _recent_events(spark, sf)
@@ -660,44 +663,37 @@ def e13_number_text(spark, sf):
 @query
 def e14_unusable_range(spark, sf):
     """A range with a missing end: the view falls back to the days of the data."""
-    kept = filters.in_segments(_served(spark, sf), {"last_balance_bucket": ["101-300"]})
-    return rounded(views.view_consumption_trend(kept, None, (None, AS_OF)), "consumption")
+    rows = views.view_consumption_trend(_served(spark, sf), "last_balance_bucket", (None, AS_OF))
+    return rounded(rows, "consumption")
 
 
 # -- gap fill ---------------------------------------------------------------
 
 
-def _thin(spark, sf) -> DataFrame:
-    """A few days of one segment, so that days and combinations are missing."""
-    return filters.in_segments(
-        _served(spark, sf), {"last_balance_bucket": ["0-100"], "first_chapter_bucket": ["0-10", "11-20"]}
-    )
-
-
 @query
 def g1_missing_days(spark, sf):
-    return rounded(views.view_consumption_trend(_thin(spark, sf), None, WIDER), "consumption")
+    return rounded(views.view_consumption_trend(_served(spark, sf), None, WIDER), "consumption")
 
 
 @query
 def g2_missing_days_by_segment(spark, sf):
-    return rounded(views.view_consumption_trend(_thin(spark, sf), "first_chapter_bucket", WIDER), "consumption")
+    return rounded(views.view_consumption_trend(_served(spark, sf), "last_balance_bucket", WIDER), "consumption")
 
 
 @query
 def g3_missing_pairs(spark, sf):
-    rows = views.view_free_vs_paid(_thin(spark, sf), "first_chapter_bucket", WIDER)
+    rows = views.view_free_vs_paid(_served(spark, sf), "last_balance_bucket", WIDER)
     return rounded(rows, "Free Share %", "Paid Share %")
 
 
 @query
 def g4_source_grid(spark, sf):
-    return rounded(views.view_free_share_by_source(_thin(spark, sf), None, WIDER), "Share")
+    return rounded(views.view_free_share_by_source(_served(spark, sf), None, WIDER), "Share")
 
 
 @query
 def g4_source_grid_by_segment(spark, sf):
-    return rounded(views.view_rtp_by_source(_thin(spark, sf), "first_chapter_bucket", WIDER), "RTP")
+    return rounded(views.view_rtp_by_source(_served(spark, sf), "last_balance_bucket", WIDER), "RTP")
 
 
 # -- views ------------------------------------------------------------------
@@ -756,13 +752,13 @@ def v5_rtp_by_source_and_version(spark, sf):
 
 @query
 def v6_dashboard(spark, sf):
-    return rounded(views.stacked(views.dashboard(_served(spark, sf), SEGMENTS, None, INSIDE)), "value")
+    return rounded(views.stacked(views.dashboard(_served(spark, sf, SEGMENTS), SEGMENTS, None, INSIDE)), "value")
 
 
 @query
 def v6_dashboard_by_payer_today(spark, sf):
     d = "paid_today_flag"
-    return rounded(views.stacked(views.dashboard(_served(spark, sf), SEGMENTS, d), d), "value")
+    return rounded(views.stacked(views.dashboard(_served(spark, sf, SEGMENTS), SEGMENTS, d), d), "value")
 
 
 # -- checks -----------------------------------------------------------------
@@ -794,6 +790,11 @@ def c5_duplicate_keys(spark, sf):
     return checks.all_duplicate_keys(_in(spark, sf))
 
 
+@query
+def c5_duplicate_events(spark, sf):
+    return checks.duplicate_keys(_recent_events(spark, sf), ["date", "distinct_id"], "events")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v1_consumption_trend(spark, sf_dir)
 

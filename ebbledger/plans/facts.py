@@ -1,10 +1,10 @@
 """The fact tables, built from the four inputs.
 
-Events are reduced to one row per player, day and source before anything is
-joined: that is the only shuffle that moves event-level volume, and it is
-combined on the map side. The join to the player-days then works on rows
-bounded by the number of sources, and its partitioning by day and player
-serves everything after it up to the final roll-up.
+Events are reduced before anything is joined: to one row per player-day with
+sources as columns for the wide fact, to one per player, day and source for the
+others. That is the only shuffle that moves event-level volume, it is combined on
+the map side, and in the wide build its partitioning by player and day serves the
+join to the player-days too.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from ebbledger import config as C
 from ebbledger.operators.filters import closed_open_window, open_window
-from ebbledger.operators.flows import flows
+from ebbledger.operators.flows import credit_moves, flows
 from ebbledger.operators.joins import bucket_attributes, null_rules, raw_attributes, without
-from ebbledger.operators.pivot import pivot_sources, roll_up, with_totals
+from ebbledger.operators.pivot import pivot_events, roll_up, with_totals
 from ebbledger.operators.windows import player_day_outflow, segment_outflow
 from ebbledger.sources.inputs import Inputs
 
-UNLISTED = "unlisted"
 GRAINS = ("bucket", "compat")
 
 # The player first: sorts compare a prefix of the first key, and there are few dates but many players.
@@ -43,7 +42,7 @@ LONG_COLUMNS = (
 )
 
 
-def player_flows(inputs: Inputs, as_of, days: int = C.WIDE_DAYS, unlisted: str | None = None) -> DataFrame:
+def player_flows(inputs: Inputs, as_of, days: int = C.WIDE_DAYS) -> DataFrame:
     """Flows of the window with the six dimensions of their player-day.
 
     Inner on (date, player): flows of a player without a player-day, of an
@@ -51,13 +50,17 @@ def player_flows(inputs: Inputs, as_of, days: int = C.WIDE_DAYS, unlisted: str |
     """
     events = inputs.events.where(closed_open_window("date", as_of, days))
     attributes = bucket_attributes(inputs.player_days, inputs.players, inputs.fraudsters)
-    return flows(events, unlisted).join(attributes, PLAYER_DAY)
+    return flows(events).join(attributes, PLAYER_DAY)
 
 
 def player_rows(inputs: Inputs, as_of, days: int = C.WIDE_DAYS) -> DataFrame:
-    """One row per player-day with 40 source columns and 4 totals."""
-    rows = player_flows(inputs, as_of, days, UNLISTED)
-    return with_totals(pivot_sources(rows, ("date", "distinct_id", *C.DIMENSIONS)))
+    """One row per player-day with its six dimensions, 40 source columns and 4 totals; rows drop out as in player_flows."""
+    events = inputs.events.where(closed_open_window("date", as_of, days))
+    attributes = bucket_attributes(inputs.player_days, inputs.players, inputs.fraudsters)
+    joined = pivot_events(credit_moves(events), PLAYER_DAY).join(attributes, PLAYER_DAY)
+    # Where a player-day comes twice, its player still is one row; the join's partitioning serves this.
+    one_each = joined.groupBy(*PLAYER_DAY, *C.DIMENSIONS).agg(*(F.expr(f"sum({m}) AS {m}") for m in C.MEASURES))
+    return with_totals(one_each)
 
 
 def build_wide(inputs: Inputs, as_of, days: int = C.WIDE_DAYS, grain: str = "bucket") -> DataFrame:
@@ -91,7 +94,10 @@ def build_long(inputs: Inputs, as_of, days: int = C.LONG_DAYS) -> DataFrame:
 
 
 def build_narrow(inputs: Inputs, as_of, days: int = C.WIDE_DAYS) -> DataFrame:
-    """The segment fact with sources as rows: value, count, players, and the segment's outflow of the day."""
+    """The segment fact with sources as rows: value, count, players, and the segment's outflow of the day.
+
+    The rows below are one per player and group, so counting them counts players.
+    """
     keys = (*C.WIDE_KEYS, "source", "inflow_outflow")
     grouped = (
         player_flows(inputs, as_of, days)
@@ -99,7 +105,7 @@ def build_narrow(inputs: Inputs, as_of, days: int = C.WIDE_DAYS) -> DataFrame:
         .agg(
             F.sum("sum_value").alias("sum_value"),
             F.sum("cnt").alias("cnt"),
-            F.countDistinct("distinct_id").alias("distinct_players"),
+            F.count("distinct_id").alias("distinct_players"),
         )
     )
     return segment_outflow(grouped)

@@ -1,8 +1,8 @@
 """The five daily views and the whole dashboard.
 
-Each view works on one small frame of daily sums. Where a gap fill has to look
-at that frame more than once it is settled first, so the facts behind it are
-read a single time.
+Each view is one lazy plan over a small frame of daily sums. Where a gap fill has
+to look at that frame more than once it is gathered into one row first: all its
+uses then are the same exchange, which Spark computes once.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from ebbledger.operators.metrics import (
     view_keys,
 )
 from ebbledger.operators.windows import share_of_total
-from ebbledger.sources.sinks import settle
 
 WHOLE_DATA = "data"
 
@@ -81,7 +80,7 @@ def _by_date(rows: DataFrame, dimension, *ties: str) -> DataFrame:
 
 def _daily(serving: DataFrame, dimension, columns, again: bool) -> DataFrame:
     daily = daily_sums(serving, dimension, columns)
-    return settle(daily, "daily") if again else daily
+    return calendar.gathered(daily) if again else daily
 
 
 # -- views ------------------------------------------------------------------
@@ -127,7 +126,7 @@ def dashboard(
 
     Without a usable range the views cover the days of the filtered data.
     """
-    kept = in_segments(between_dates(serving, date_range), segments)
+    kept = in_segments(between_dates(serving, date_pair(date_range)), segments)
     daily = _daily(kept, dimension, DAILY_COLUMNS, True)
     over = date_range if date_pair(date_range) is not None else WHOLE_DATA
     return {

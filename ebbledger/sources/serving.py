@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +33,9 @@ def load_serving(table: DataFrame, as_of=None, days: int | None = None) -> DataF
     return df.orderBy(F.col("date").desc(), *C.DIMENSIONS)
 
 
-def load_narrow(table: DataFrame, as_of, days: int, cap: int = C.NARROW_LOAD_CAP) -> DataFrame:
-    """The narrow fact's columns, at most `cap` rows of the last days."""
-    return table.select(*NARROW_COLUMNS).where(F.col("date") >= days_before(as_of, days)).limit(cap)
+def load_narrow(table: DataFrame, as_of, days: int) -> DataFrame:
+    """The narrow fact's columns, every row of the last days."""
+    return table.select(*NARROW_COLUMNS).where(F.col("date") >= days_before(as_of, days))
 
 
 def load_filtered(table: DataFrame, filters: Mapping[str, object] | None) -> DataFrame:
@@ -85,8 +84,27 @@ def days_needed(as_of, requested_range, loaded_range) -> int | None:
 
 
 def load_covering(table: DataFrame, as_of, requested_range, loaded_days: int | None = None) -> DataFrame:
-    """The table loaded `loaded_days` back, or further if the requested range reaches outside what that holds."""
-    loaded = load_serving(table, as_of, loaded_days)
-    have: tuple[date | None, date | None] = tuple(available_range(loaded).first())
-    days = days_needed(as_of, requested_range, have)
-    return loaded if days is None else load_serving(table, as_of, days)
+    """The table loaded `loaded_days` back, or further if the requested range begins before that.
+
+    What counts are the days loaded, not the rows found in them: a short load
+    that holds nothing is still short. Without `loaded_days` all is loaded.
+    """
+    requested = date_pair(requested_range)
+    if requested is not None and loaded_days:
+        loaded_days = max(loaded_days, (as_date(as_of) - requested[0]).days + 1)
+    return load_serving(table, as_of, loaded_days)
+
+
+def select_segments(table: DataFrame, segments: Mapping[str, list] | None) -> DataFrame:
+    """Rows of the stored fact that match every non-empty selection, as `normalise` will show them.
+
+    The conditions are on the stored columns, so that they reach the scan: a
+    selected 0 or None also takes what is stored as NULL.
+    """
+    for column, values in (segments or {}).items():
+        C.check_dimension(column)
+        if values:
+            default = "None" if column in C.BUCKET_COLUMNS else 0
+            wanted = F.col(column).isin(*values)
+            table = table.where(wanted | F.col(column).isNull() if default in values else wanted)
+    return table

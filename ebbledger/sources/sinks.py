@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbledger.functions.scalars import as_date
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach, as the cluster names it; a temporary one only where none is named."""
+    """The folder all executors reach, as the cluster names it in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="ebbledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
@@ -22,33 +23,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "settled") -> DataFrame:
-    """Computes the frame once, as a table in the shared folder, and returns a scan of it.
-
-    For small aggregates that a later step reads several times: the work above
-    them runs once, survives the loss of executors, and the size of the scan is
-    known to the planner.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _by_day(df: DataFrame) -> DataFrame:
     """Rows of a day together, in files of the advisory size; a large day is split over several tasks."""
     return df.hint("rebalance", F.col("date"))
 
 
+def _reads(df: DataFrame, path: str) -> bool:
+    """Whether the frame scans files below the path."""
+    root = path.removeprefix("file:").rstrip("/") + "/"
+    return any(root in f"{unquote(file)}/".replace("file://", "") for file in df.inputFiles())
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Replaces the table, partitioned by date, and returns a scan of it."""
+    """Replaces the table, partitioned by date, and returns a scan of it. A frame that reads the table itself is refused."""
+    if _reads(df, path):
+        raise ValueError(f"the frame reads {path}, which replacing would destroy")
     _by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
     return read_table(df.sparkSession, path, df)
 
 
-def refresh_dates(df: DataFrame, path: str) -> DataFrame:
-    """Replaces only the days the frame holds; running it again changes nothing."""
-    _by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    return read_table(df.sparkSession, path, df)
+def refresh_dates(df: DataFrame, path: str, days) -> DataFrame:
+    """Replaces the stated days: rows of those days are written, days of them without rows are cleared.
+
+    Running it again changes nothing. Rows of other days are refused by dropping
+    out: the frame is cut to the days.
+    """
+    spark, wanted = df.sparkSession, sorted({as_date(d) for d in days})
+    kept = df.where(F.col("date").isin(*wanted)) if wanted else df.limit(0)
+    present = {row["date"] for row in kept.select("date").distinct().collect()}  # at most the stated days
+    if present:
+        _by_day(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for day in wanted:
+        if day not in present:
+            folder = hadoop.Path(f"{path.rstrip('/')}/date={day.isoformat()}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return read_table(spark, path, df)
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from compare import differences, open_tables
 from conftest import DATA
 
 import __spark_entry__ as entry_points
+from ebbledger.plans.catalog import CATALOG as QUERIES
+from ebbledger.plans.oracle import ORACLE as SQL
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 SF_DIR = f"{DATA}/sf0.01"
 
 
@@ -19,6 +20,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= entry_points.queries().keys() and SQL.keys() <= entry_points.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)

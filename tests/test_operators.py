@@ -170,14 +170,50 @@ def test_replace_and_refresh(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "v int, date date")
     sinks.replace_table(frame([(1, d1), (2, d2)]), path)
     for _ in range(2):
-        table = sinks.refresh_dates(frame([(20, d2), (30, d3)]), path)
+        table = sinks.refresh_dates(frame([(20, d2), (30, d3)]), path, [d2, "2024-01-03"])
         assert sorted((r.v, r.date) for r in table.collect()) == [(1, d1), (20, d2), (30, d3)]
     assert table.columns == ["v", "date"]
+    for left in ([(1, d1), (30, d3)], [(1, d1)]):  # a day that comes back empty is cleared, others stay
+        table = sinks.refresh_dates(frame([(99, d1)] if len(left) == 2 else []), path, [d2 if len(left) == 2 else d3])
+        assert sorted((r.v, r.date) for r in table.collect()) == left
+    with pytest.raises(ValueError, match="reads"):
+        sinks.replace_table(table, path)
     replaced = sinks.replace_table(frame([(7, d3)]), path)
     assert [(r.v, r.date) for r in replaced.collect()] == [(7, d3)]
 
 
-def test_settled_rows_lie_in_the_shared_folder(spark):
-    settled = sinks.settle(spark.range(5).withColumn("x", F.col("id") * 2))
-    assert settled.count() == 5
-    assert sinks.shared_folder(spark) in settled.inputFiles()[0]
+def test_narrow_load_keeps_every_row(spark):
+    columns = ", ".join(f"{c} {'date' if c == 'date' else 'string' if 'bucket' in c or c in ('source', 'inflow_outflow') else 'double'}" for c in serving.NARROW_COLUMNS)
+    many = spark.range(1_200_000).select(*(F.lit(date(2024, 1, 30) if c == "date" else "x" if " string" in f"{c} string" and ("bucket" in c or c in ("source", "inflow_outflow")) else 1.0).alias(c) for c in serving.NARROW_COLUMNS))
+    assert columns and serving.load_narrow(many, date(2024, 1, 31), 7).count() == 1_200_000
+
+
+def test_covering_load_counts_days_not_rows(spark):
+    table = spark.createDataFrame([(date(2024, 1, 10),)], "date date").select("date", *(F.lit(0).alias(c) for c in C.WIDE_COLUMNS if c != "date"))
+    as_of = date(2024, 1, 31)
+    assert serving.load_covering(table, as_of, (date(2024, 1, 5), date(2024, 1, 15)), 5).count() == 1
+    assert serving.load_covering(table, as_of, None, 5).count() == 0 and serving.load_covering(table, as_of, None).count() == 1
+
+
+def test_range_filter_takes_one_end_and_refuses_nonsense(spark):
+    df = spark.createDataFrame([(date(2024, 1, n),) for n in (1, 2, 3)], "date date")
+    assert filters.between_dates(df, None).count() == 3
+    assert filters.between_dates(df, (None, "2024-01-02")).count() == 2 and filters.between_dates(df, (date(2024, 1, 3), None)).count() == 1
+    for wrong in (("2024-13-01", None), (None, None), "2024-01-01", (1, 2, 3)):
+        with pytest.raises((ValueError, TypeError)):
+            filters.between_dates(df, wrong)
+
+
+def test_window_sums_are_linear_and_right_for_one_hot_key(spark):
+    """Many windows and events of one key in one bin, against a plain sum; rows of the plan stay under events plus ends."""
+    r = random.Random(1)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    events = [("k", at(r.randrange(3000)), r.choice([None, 1, 2, 7])) for _ in range(300)] + [("idle", at(5), 3)]
+    windows = [("k", at(a := r.randrange(3000)), at(a + r.randrange(-20, 900))) for _ in range(200)] + [("none", at(1), at(9)), ("idle", at(6), at(7)), ("k", None, at(3)), ("k", at(0), at(10**8))]
+    e = spark.createDataFrame(events, "key string, at timestamp_ntz, v bigint")
+    w = spark.createDataFrame(windows, "key string, a timestamp_ntz, b timestamp_ntz")
+    want = sum(v or 0 for k, t, v in events for n, a, b in windows if k == n == "k" and a is not None and a <= t <= b)
+    for bin_seconds in (100, 86400):
+        got = joins.sum_in_windows(e, w, "key", "at", "a", "b", "v", "total", bin_seconds)
+        assert [tuple(x) for x in got.collect()] == [("k", want)]
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
