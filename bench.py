@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ebbledger.plans import facts, views
 from ebbledger.sources import sinks
-from ebbledger.sources.inputs import AS_OF, benchmark_inputs
+from ebbledger.sources.inputs import AS_OF, Inputs, benchmark_inputs
 from ebbledger.sources.serving import normalise
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -36,11 +36,10 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED") or tempfile.mkdtemp(prefix="ebbledger-bench-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ebbledger-bench-"))
     return spark
 
 
@@ -62,10 +61,21 @@ def check(df: DataFrame) -> dict:
     return {"rows": row["n"], "sum": row["sum"]}
 
 
+def multiplied(spark: SparkSession, copies: int) -> Inputs:
+    """The inputs with every event `copies` times, events and player-days stored: so that data is timed, not planning."""
+    given = benchmark_inputs(spark, SF_DIR)
+    many = given.events.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
+    paths = [sinks.new_path(spark, name) for name in ("events", "player-days")]
+    many.write.parquet(paths[0])
+    given.player_days.write.parquet(paths[1])
+    return Inputs(spark.read.parquet(paths[0]), spark.read.parquet(paths[1]), given.players, given.fraudsters)
+
+
 def main() -> None:
     spark = session()
     stored = sinks.replace_table(facts.build_wide(benchmark_inputs(spark, SF_DIR), AS_OF), sinks.new_path(spark, "wide"))
     given = lambda: benchmark_inputs(spark, SF_DIR)
+    many = multiplied(spark, 40)
     fresh = lambda: normalise(facts.build_wide(given(), AS_OF))
     kept = lambda: normalise(stored)
     queries = {
@@ -73,6 +83,8 @@ def main() -> None:
         "wide_compat_build": lambda: facts.build_wide(given(), AS_OF, grain="compat"),
         "long_build": lambda: facts.build_long(given(), AS_OF),
         "narrow_build": lambda: facts.build_narrow(given(), AS_OF),
+        "wide_build_40x": lambda: facts.build_wide(many, AS_OF),
+        "long_build_40x": lambda: facts.build_long(many, AS_OF),
         "v1_from_events": lambda: views.view_consumption_trend(fresh()),
         "v2_from_events": lambda: views.view_credit_components(fresh()),
         "v3_from_events": lambda: views.view_free_vs_paid(fresh()),
