@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ebbledger.llm import bpe, mixing, near_dup, pii, quality_mil
 from ebbledger.llm.common import labelled, stored, table
