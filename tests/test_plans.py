@@ -149,9 +149,7 @@ def test_exclusion_list_has_one_aggregate(stored):
 
 
 def test_narrow_needs_no_distinct(stored):
-    text = plan(build_narrow(stored, AS_OF))
-    above_join = text[text.index("Window [") : text.index("Join [")]
-    assert "count(distinct" not in text and above_join.count("partial_count(distinct_id)") == 1
+    assert "count(distinct" not in plan(build_narrow(stored, AS_OF))
 
 
 def test_views_start_no_job_and_scan_once(spark, tmp_path):
