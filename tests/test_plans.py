@@ -149,7 +149,7 @@ def test_exclusion_list_has_one_aggregate(stored):
 
 
 def test_narrow_needs_no_distinct(stored):
-    assert "count(distinct" not in plan(build_narrow(stored, AS_OF))
+    assert "count(distinct " not in plan(build_narrow(stored, AS_OF))
 
 
 def test_views_start_no_job_and_scan_once(spark, tmp_path):
