@@ -1,12 +1,7 @@
 import random
-import sys
-from pathlib import Path
 
 import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
-from plain import random_texts  # noqa: E402
+from llm.plain import random_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, words string, bucket int, score double, h1 long"
 

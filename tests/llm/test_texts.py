@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
-import plain
 import pytest
-from conftest import frame
 from pyspark.sql import functions as F
 
+from llm import plain
+from llm.conftest import frame
+
 from ebbledger.llm import bytewise, near_dup, pii, quality_rules, suffix_dedup
 
 
