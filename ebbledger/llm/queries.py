@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.llm import bpe, hamming_ann, langid, mixing, near_dup, pii, quality_mil, quality_rules, suffix_dedup, toxicity
+from ebbledger.llm import bpe, hamming_ann, langid, lexical, mixing, near_dup, packing, pii, quality_mil, quality_rules, suffix_dedup, toxicity, whitening
 from ebbledger.llm.common import fold, labelled, stored, table
 
 #: Vocabulary of the BPE query.
@@ -80,6 +80,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BPE_FILE)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -91,5 +103,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_minhash_near_dup": op9_minhash_near_dup,
     "op10_pii": op10_pii,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE = {"op7_mixing": mixing.oracle_sql()}
+ORACLE = {"op7_mixing": mixing.oracle_sql(), "op13_lexical_search": lexical.oracle_sql(k=10)}
