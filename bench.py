@@ -90,11 +90,11 @@ def main() -> None:
         "v3_from_events": lambda: views.view_free_vs_paid(fresh()),
         "v4_from_events": lambda: views.view_free_share_by_source(fresh()),
         "v5_from_events": lambda: views.view_rtp_by_source(fresh()),
-        "v6_from_events": lambda: views.stacked(views.dashboard(fresh())),
+        "v6_from_events": lambda: views.dashboard_table(fresh()),
         "v1_stored": lambda: views.view_consumption_trend(kept()),
         "v1_stored_by_chapter": lambda: views.view_consumption_trend(kept(), "first_chapter_bucket"),
         "v5_stored": lambda: views.view_rtp_by_source(kept()),
-        "v6_stored": lambda: views.stacked(views.dashboard(kept())),
+        "v6_stored": lambda: views.dashboard_table(kept()),
     }
     seconds, details = {}, {}
     for name, make in queries.items():

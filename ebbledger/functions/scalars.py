@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ebbledger import config as C
 
 
-def _col(c: Column | str) -> Column:
+def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
@@ -22,7 +22,7 @@ def inclusive_bucket(c: Column | str, ranges, top: str) -> Column:
 
     The ranges have integer ends, so a value between two of them (100.5) is `top`.
     """
-    c = _col(c)
+    c = as_column(c)
     out = None
     for lo, hi, label in ranges:
         hit = c.between(lo, hi)
@@ -40,7 +40,7 @@ def balance_bucket(c: Column | str) -> Column:
 
 def half_open_bucket(c: Column | str, steps) -> Column:
     """Label of the step lo <= value < hi; the last step is open above and also the fallback."""
-    c = _col(c)
+    c = as_column(c)
     out = None
     for lo, hi, label in steps[:-1]:
         hit = (c >= lo) & (c < hi)
@@ -53,7 +53,7 @@ def half_open_bucket(c: Column | str, steps) -> Column:
 
 
 def zero_if_null(c: Column | str) -> Column:
-    return F.coalesce(_col(c), F.lit(0))
+    return F.coalesce(as_column(c), F.lit(0))
 
 
 def flag(condition: Column) -> Column:
@@ -82,7 +82,7 @@ def estimated_events(delta: Column, mode: Column) -> Column:
 
 def lenient_number(c: Column | str) -> Column:
     """The value as a double; unreadable, NULL and NaN become 0."""
-    return F.coalesce(F.nullif(_col(c).try_cast("double"), F.lit(float("nan"))), F.lit(0.0))
+    return F.coalesce(F.nullif(as_column(c).try_cast("double"), F.lit(float("nan"))), F.lit(0.0))
 
 
 def lenient_number_sql(column: str) -> str:
@@ -92,11 +92,11 @@ def lenient_number_sql(column: str) -> str:
 
 def nearest_whole(c: Column | str) -> Column:
     """The nearest whole number, halves away from zero; a plain cast would cut the fraction off."""
-    return F.round(_col(c)).cast("bigint")
+    return F.round(as_column(c)).cast("bigint")
 
 
 def lenient_date(c: Column | str) -> Column:
-    return _col(c).try_cast("date")
+    return as_column(c).try_cast("date")
 
 
 # -- dates ------------------------------------------------------------------
@@ -132,7 +132,7 @@ def days_before(as_of, days: int) -> Column:
 
 def days_back(as_of, first: Column | str) -> Column:
     """How many days before `as_of` the date lies, counting both ends."""
-    return F.datediff(F.lit(as_date(as_of)), _col(first)) + 1
+    return F.datediff(F.lit(as_date(as_of)), as_column(first)) + 1
 
 
 # -- number formatting ------------------------------------------------------
@@ -140,14 +140,14 @@ def days_back(as_of, first: Column | str) -> Column:
 
 def money_text(c: Column | str) -> Column:
     """1234.5 -> $1,234.50"""
-    return F.concat(F.lit("$"), F.format_number(_col(c), 2))
+    return F.concat(F.lit("$"), F.format_number(as_column(c), 2))
 
 
 def percent_text(c: Column | str) -> Column:
     """75.5 -> 75.50%, without thousands separators."""
-    return F.concat(F.translate(F.format_number(_col(c), 2), ",", ""), F.lit("%"))
+    return F.concat(F.translate(F.format_number(as_column(c), 2), ",", ""), F.lit("%"))
 
 
 def thousands_text(c: Column | str, places: int = 0) -> Column:
     """1234 -> 1,234"""
-    return F.format_number(_col(c), places)
+    return F.format_number(as_column(c), places)

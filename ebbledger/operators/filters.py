@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
-from ebbledger.functions.scalars import as_date, days_before
+from ebbledger.functions.scalars import as_column, as_date, days_before
 
 # -- windows ----------------------------------------------------------------
 
@@ -126,9 +126,9 @@ def all_filter_options(df: DataFrame, columns=C.DIMENSIONS) -> DataFrame:
 # -- filters on view rows ---------------------------------------------------
 
 
-def with_inflow(inflow: str) -> Column:
-    return F.col(inflow) > 0
+def with_inflow(inflow: Column | str) -> Column:
+    return as_column(inflow) > 0
 
 
-def with_any_flow(inflow: str, outflow: str) -> Column:
-    return (F.col(inflow) > 0) | (F.col(outflow) > 0)
+def with_any_flow(inflow: Column | str, outflow: Column | str) -> Column:
+    return (as_column(inflow) > 0) | (as_column(outflow) > 0)

@@ -28,47 +28,111 @@ def daily_sums(serving: DataFrame, dimension: str | None = None, columns=DAILY_C
 # -- per view, from the daily sums ------------------------------------------
 
 
+def kpi_columns() -> dict[str, Column]:
+    spent = F.abs("total_outflow")
+    return {
+        "total_outflow": F.lit(0) - spent,
+        "total_free_inflow": F.col("total_free_inflow"),
+        "total_paid_inflow": F.col("total_paid_inflow"),
+        "consumption": percent(spent, F.col("total_inflow")),
+    }
+
+
+def free_and_paid_columns() -> dict[str, Column]:
+    free, paid, whole = F.col("total_free_inflow"), F.col("total_paid_inflow"), F.col("total_inflow")
+    shares = {"Free Share %": percent(free, whole), "Paid Share %": percent(paid, whole)}
+    return {"Free Inflow": free, "Paid Inflow": paid, **shares}
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
 def kpis(daily: DataFrame, dimension: str | None = None) -> DataFrame:
     """Outflow (below zero), free and paid inflow, and outflow as a percentage of inflow."""
-    spent = F.abs("total_outflow")
-    return daily.select(
-        *view_keys(dimension),
-        (F.lit(0) - spent).alias("total_outflow"),
-        "total_free_inflow",
-        "total_paid_inflow",
-        percent(spent, F.col("total_inflow")).alias("consumption"),
-    )
+    return daily.select(*view_keys(dimension), *_named(kpi_columns()))
 
 
 def free_and_paid(daily: DataFrame, dimension: str | None = None) -> DataFrame:
-    whole = F.col("total_inflow")
-    return daily.select(
-        *view_keys(dimension),
-        F.col("total_free_inflow").alias("Free Inflow"),
-        F.col("total_paid_inflow").alias("Paid Inflow"),
-        percent(F.col("total_free_inflow"), whole).alias("Free Share %"),
-        percent(F.col("total_paid_inflow"), whole).alias("Paid Share %"),
+    return daily.select(*view_keys(dimension), *_named(free_and_paid_columns()))
+
+
+def _free_sources() -> Column:
+    """The free sources of a daily row: name, bit, and inflow."""
+    rows = (f"struct('{s}' AS source, {1 << n} AS _bit, {C.value_column(s)} AS _gained)" for n, s in enumerate(C.FREE_SOURCES))
+    return F.expr(f"array({', '.join(rows)})")
+
+
+#: Above the bits of the free sources: whether there was any outflow.
+_SPENT_BIT = 1 << len(C.FREE_SOURCES)
+
+
+def source_marks() -> Column:
+    """Bits of a daily row: one for each free source with inflow, one for outflow."""
+    gave = F.aggregate(_free_sources(), F.lit(0), lambda bits, s: bits + F.when(with_inflow(s["_gained"]), s["_bit"]).otherwise(0))
+    return gave + F.when(F.abs("total_outflow") > 0, _SPENT_BIT).otherwise(0)
+
+
+def _shown(marks: str, bit: Column) -> Column:
+    """Whether marks have the bit, at least one of the bits, in a calendar row."""
+    return F.col("_inside") & (F.col(marks).bitwiseAND(bit) != 0)
+
+
+def free_sources_shown(daily: DataFrame, dimension: str | None = None) -> Column:
+    """Free inflow and share of the day, per source, as an array: (source, Free Inflow, Share).
+
+    Sources without inflow are left out, but for those that filled rows show as zeros:
+    the ones seen on any day, for the dimension values that have any.
+    """
+    sources = _free_sources()
+    whole = F.aggregate(sources, F.lit(0.0), lambda total, s: total + F.when(with_inflow(s["_gained"]), s["_gained"].cast("double")).otherwise(0.0))
+    kept = lambda s: with_inflow(s["_gained"])
+    if "_all_marks" in daily.columns:
+        any_free = F.col("_own_marks").bitwiseAND(F.lit(_SPENT_BIT - 1)) != 0
+        kept = lambda s: with_inflow(s["_gained"]) | (any_free & _shown("_all_marks", s["_bit"]))
+    gained = lambda s: F.when(with_inflow(s["_gained"]), s["_gained"]).otherwise(0)
+    return F.transform(
+        F.filter(sources, kept),
+        lambda s: F.struct(s["source"].alias("source"), gained(s).alias("Free Inflow"), percent(gained(s), whole).alias("Share")),
     )
 
 
-def _free_sources_as_rows(daily: DataFrame, keys, value: str) -> DataFrame:
-    named = daily.select(*keys, *[F.expr(f"{C.value_column(s)} AS {s}") for s in C.FREE_SOURCES])
-    return named.unpivot(list(keys), list(C.FREE_SOURCES), "source", value)
+def rtp_sources_shown(daily: DataFrame, dimension: str | None = None) -> Column:
+    """Free inflow as a percentage of outflow, per source, as an array: (source, RTP).
+
+    Sources stay while they have inflow or there is outflow, and, in filled rows, as
+    in `free_sources_shown`. Where no source is seen and there is no dimension, all are shown.
+    """
+    sources, spent = _free_sources(), F.abs("total_outflow")
+    kept = lambda s: with_any_flow(s["_gained"], spent)
+    if "_all_marks" in daily.columns:
+        seen = lambda s: _shown("_all_marks", s["_bit"].bitwiseOR(F.lit(_SPENT_BIT)))
+        own = F.col("_own_marks") != 0
+        if dimension is None:
+            own, seen = F.lit(True), lambda s, f=seen: f(s) | (F.col("_inside") & (F.col("_all_marks") == 0))
+        kept = lambda s: with_any_flow(s["_gained"], spent) | (own & seen(s))
+    return F.transform(
+        F.filter(sources, kept), lambda s: F.struct(s["source"].alias("source"), percent(s["_gained"], spent).alias("RTP"))
+    )
 
 
 def free_by_source(daily: DataFrame, dimension: str | None = None) -> DataFrame:
-    """Free inflow per source, sources without any left out."""
+    """Free inflow per source, sources without any left out; zeros as well in filled rows."""
+    return free_share_by_source(daily, dimension).drop("Share")
+
+
+def free_share_by_source(daily: DataFrame, dimension: str | None = None) -> DataFrame:
+    """Free inflow per source and its share of the day, of the dimension value's day if given."""
     keys = view_keys(dimension)
-    rows = _free_sources_as_rows(daily, keys, "Free Inflow").where(with_inflow("Free Inflow"))
-    return rows.select("date", "source", *keys[1:], "Free Inflow")
+    rows = daily.select(*keys, F.inline(free_sources_shown(daily, dimension)))
+    return rows.select("date", "source", *keys[1:], "Free Inflow", "Share")
 
 
 def rtp_by_source(daily: DataFrame, dimension: str | None = None) -> DataFrame:
-    """Free inflow of a source as a percentage of all outflow; kept while either is positive."""
+    """Free inflow of a source as a percentage of all outflow; kept while either is positive, zeros as well in filled rows."""
     keys = view_keys(dimension)
-    with_spent = daily.withColumn("_spent", F.abs("total_outflow"))
-    rows = _free_sources_as_rows(with_spent, (*keys, "_spent"), "_gained").where(with_any_flow("_gained", "_spent"))
-    return rows.select("date", "source", *keys[1:], percent(F.col("_gained"), F.col("_spent")).alias("RTP"))
+    rows = daily.select(*keys, F.inline(rtp_sources_shown(daily, dimension)))
+    return rows.select("date", "source", *keys[1:], "RTP")
 
 
 # -- documented queries on the long fact ------------------------------------

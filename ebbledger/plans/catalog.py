@@ -335,7 +335,7 @@ def j7_latest_batch_within(spark, sf):
 
 @query
 def j8_calendar_join(spark, sf):
-    daily = calendar.gathered(metrics.daily_sums(_served(spark, sf), "last_balance_bucket", C.TOTALS))
+    daily = metrics.daily_sums(_served(spark, sf), "last_balance_bucket", C.TOTALS)
     return calendar.fill_grid(daily, "last_balance_bucket", WIDER)
 
 
@@ -752,13 +752,13 @@ def v5_rtp_by_source_and_version(spark, sf):
 
 @query
 def v6_dashboard(spark, sf):
-    return rounded(views.stacked(views.dashboard(_served(spark, sf, SEGMENTS), SEGMENTS, None, INSIDE)), "value")
+    return rounded(views.dashboard_table(_served(spark, sf, SEGMENTS), SEGMENTS, None, INSIDE), "value")
 
 
 @query
 def v6_dashboard_by_payer_today(spark, sf):
     d = "paid_today_flag"
-    return rounded(views.stacked(views.dashboard(_served(spark, sf, SEGMENTS), SEGMENTS, d), d), "value")
+    return rounded(views.dashboard_table(_served(spark, sf, SEGMENTS), SEGMENTS, d), "value")
 
 
 # -- checks -----------------------------------------------------------------

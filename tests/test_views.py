@@ -132,6 +132,26 @@ def test_dashboard_filters_then_fills(gaps):
         views.view_consumption_trend(gaps, "distinct_id")
 
 
+@pytest.mark.parametrize("dimension", [None, DIM])
+@pytest.mark.parametrize("over", [None, RANGE, (D2, date(2024, 1, 5)), (D3, D2)])
+def test_dashboard_as_one_table(gaps, dimension, over):
+    """One pass gives the rows of the five panels, each alone."""
+    for segments in (None, {DIM: ["Y"]}):
+        table = views.dashboard_table(gaps, segments, dimension, over)
+        panels = views.stacked(views.dashboard(gaps, segments, dimension, over), dimension)
+        assert table.columns == panels.columns
+        key = lambda r: tuple(str(c) for c in r)
+        assert sorted(table.collect(), key=key) == sorted(panels.collect(), key=key)
+
+
+def test_sources_seen_under_one_value_are_shown_under_another(gaps):
+    """Y has no inflow of rewards_race, X has; X has none of rewards_eoc; a value without free inflow is not shown."""
+    more = gaps.unionByName(wide(gaps.sparkSession, [(D2, "Z", {"rewards_store": 4})]))
+    rows = views.view_free_share_by_source(more, DIM, "data").collect()
+    assert {(r[DIM], r.source) for r in rows} == {(v, s) for v in "XY" for s in ("rewards_eoc", "rewards_race")}
+    assert len(rows) == 2 * 2 * 3 and sum(r["Free Inflow"] for r in rows) == 43
+
+
 def test_null_dimension_rows_are_left_out_unless_normalised(spark):
     df = wide(spark, [(D1, "X", {"rewards_race": 1}), (D1, None, {"rewards_race": 2})])
     assert [r[DIM] for r in metrics.daily_sums(df, DIM).collect()] == ["X"]
