@@ -23,6 +23,11 @@ def open_window(c: str, as_of, days: int) -> Column:
     return F.col(c) >= days_before(as_of, days)
 
 
+def on_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of the days that another table names. Where rows are stored by date, Spark skips the folders of all others."""
+    return rows.join(days.select("date").distinct(), "date", "left_semi")
+
+
 # -- event predicates -------------------------------------------------------
 
 

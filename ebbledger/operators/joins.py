@@ -91,6 +91,21 @@ def _clock_seconds(c: str, kind: T.DataType) -> Column:
     return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
+#: Bins of a key whose running sums are one task's; their groups are the next level.
+BINS_OF_A_GROUP = 1024
+
+
+def _sums_before(per_bin: DataFrame, key: str, bin_: str, sums: list[str]) -> DataFrame:
+    """key, bin, and per sum `_before..`: what all earlier bins of the key hold, in two levels of running sums."""
+    grouped = per_bin.withColumn("_group", F.floor(F.col(bin_) / BINS_OF_A_GROUP).cast("bigint"))
+    earlier = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda n, window: F.coalesce(F.sum(n).over(window), F.lit(0))
+    groups = grouped.groupBy(key, "_group").agg(*(F.sum(n).alias(n) for n in sums))
+    groups = groups.select(key, "_group", *(upto(n, earlier(key, by="_group")).alias(f"_groups{n}") for n in sums))
+    inside = grouped.select(key, "_group", bin_, *(upto(n, earlier(key, "_group", by=bin_)).alias(f"_bins{n}") for n in sums))
+    return inside.join(groups, [key, "_group"]).select(key, bin_, *((F.col(f"_bins{n}") + F.col(f"_groups{n}")).alias(f"_before{n}") for n in sums))
+
+
 def sum_in_windows(
     events: DataFrame,
     windows: DataFrame,
@@ -109,7 +124,8 @@ def sum_in_windows(
     of time, and each end adds or takes away the sum so far: as many rows as
     events and ends, whatever the number of windows an event is in or their
     length. Time is cut into bins, which spreads a key with very many events over
-    tasks: sums run inside a (key, bin), over what the bins before it hold.
+    tasks: sums run inside a (key, bin), over what the bins before it hold, and those
+    of the bins inside groups of them, so that very many bins are spread as well.
     Sums of doubles can differ in their last digits from those taken one by one.
     """
 
@@ -124,8 +140,7 @@ def sum_in_windows(
     rows = points.unionByName(starts).unionByName(ends).where(F.col(key).isNotNull()).select("*", bin_of)
     sums = {"_sum": F.coalesce("_value", F.lit(0)), "_events": (F.col("_order") == 1).cast("bigint"), "_known": F.col("_value").isNotNull().cast("bigint")}
     per_bin = rows.groupBy(key, "_bin").agg(*(F.sum(e).alias(n) for n, e in sums.items()))
-    earlier = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_bin.select(key, "_bin", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before{n}") for n in sums))
+    before = _sums_before(per_bin, key, "_bin", list(sums))
     upto = Window.partitionBy(key, "_bin").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = rows.select(key, "_bin", "_sign", *(F.sum(e).over(upto).alias(n) for n, e in sums.items())).where("_sign <> 0")
     total = run.join(before, [key, "_bin"]).groupBy(key).agg(*(F.sum(F.col("_sign") * (F.col(n) + F.col(f"_before{n}"))).alias(n) for n in sums))

@@ -19,6 +19,7 @@ from ebbledger.plans import facts, views
 from ebbledger.sources import inputs as tables
 from ebbledger.sources import serving, sinks
 from ebbledger.sources.inputs import AS_OF, Inputs
+from ebbledger.sources.versioned import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -51,6 +52,17 @@ def _wide(spark, sf, **how) -> DataFrame:
     return facts.build_wide(_in(spark, sf), AS_OF, **how)
 
 
+def _stored_wide(spark, sf) -> VersionedTable:
+    table = VersionedTable(spark, sinks.new_path(spark, "wide"))
+    table.replace(_wide(spark, sf))
+    return table
+
+
+def _stored_events(spark, sf) -> DataFrame:
+    """The events as they lie on a cluster, a folder a day."""
+    return sinks.replace_table(_in(spark, sf).events, sinks.new_path(spark, "events"))
+
+
 def _long(spark, sf) -> DataFrame:
     return facts.build_long(_in(spark, sf), AS_OF)
 
@@ -78,6 +90,12 @@ def s1_scan_events(spark, sf):
     return tables.scan_events(_in(spark, sf).events, AS_OF, C.WIDE_DAYS)
 
 
+@query
+def s1_scan_stored_events(spark, sf):
+    """The window over events stored by date: the folders of other days are not read."""
+    return tables.scan_events(_stored_events(spark, sf), AS_OF, C.WIDE_DAYS)
+
+
 @query
 def s2_scan_player_days(spark, sf):
     return tables.scan_player_days(_in(spark, sf).player_days)
@@ -95,7 +113,7 @@ def s4_scan_fraudsters(spark, sf):
 
 @query
 def s5_load_serving(spark, sf):
-    return rounded(serving.load_serving(_wide(spark, sf), AS_OF, 7), *map(C.count_column, C.OUTFLOW_SOURCES))
+    return rounded(serving.load_newest_first(_stored_wide(spark, sf), AS_OF, 7), *map(C.count_column, C.OUTFLOW_SOURCES))
 
 
 @query
@@ -121,16 +139,15 @@ def s9_normalise(spark, sf):
 
 @query
 def s10_incremental_refresh(spark, sf):
-    """The table as of the day before, then only the newest day of events added to it."""
+    """The table as of the day before, then only the newest day of events added to it, in one step."""
     given = _in(spark, sf)
-    path = sinks.new_path(spark, "wide")
-    sinks.replace_table(facts.build_wide(given, AS_OF - timedelta(days=1)), path)
+    table = VersionedTable(spark, sinks.new_path(spark, "wide"))
+    table.replace(facts.build_wide(given, AS_OF - timedelta(days=1)))
     recent = given.events.where(filters.closed_open_window("date", AS_OF, C.WIDE_DAYS))
     newest = joins.latest_batch(recent, F.col("date"))
     one_day = Inputs(newest, given.player_days, given.players, given.fraudsters)
-    return rounded(
-        sinks.refresh_dates(facts.build_wide(one_day, AS_OF), path, [AS_OF - timedelta(days=1)]), *map(C.count_column, C.OUTFLOW_SOURCES)
-    )
+    refreshed = table.refresh(facts.build_wide(one_day, AS_OF), [AS_OF - timedelta(days=1)])
+    return rounded(refreshed, *map(C.count_column, C.OUTFLOW_SOURCES))
 
 
 @query
@@ -148,8 +165,11 @@ def s12_load_filtered(spark, sf):
 
 @query
 def s13_load_covering(spark, sf):
-    loaded = serving.load_covering(_wide(spark, sf), AS_OF, (AS_OF - timedelta(days=10), AS_OF - timedelta(days=2)), 5)
-    return loaded.select(*C.WIDE_KEYS, "players", *C.TOTALS)
+    """Five days are loaded; the range asked for begins before them, and the days between are read and put below."""
+    table = _stored_wide(spark, sf)
+    loaded = serving.load_newest_first(table, AS_OF, 5)
+    covering = serving.load_covering(table, AS_OF, (AS_OF - timedelta(days=10), AS_OF - timedelta(days=2)), loaded, 5)
+    return covering.select(*C.WIDE_KEYS, "players", *C.TOTALS)
 
 
 # -- projections and filters ------------------------------------------------
@@ -178,6 +198,13 @@ def f1_closed_open_window(spark, sf):
     return _recent_events(spark, sf).select(*EVENT_KEY)
 
 
+@query
+def f1_days_of_a_table(spark, sf):
+    """Stored events of the days on which a player bought for over 300: the days are found at run time, others not read."""
+    paid = tables.scan_player_days(_in(spark, sf).player_days).where(F.col("total_purchase_revenue") > 300)
+    return filters.on_days(_stored_events(spark, sf), paid).select(*EVENT_KEY)
+
+
 @query
 def f2_open_window(spark, sf):
     return _in(spark, sf).events.where(filters.open_window("date", AS_OF, C.LONG_DAYS)).select(*EVENT_KEY)
@@ -511,7 +538,7 @@ def w3_segment_outflow(spark, sf):
 
 @query
 def o1_newest_first(spark, sf):
-    return serving.load_serving(_wide(spark, sf)).select(*C.WIDE_KEYS, "players")
+    return serving.load_newest_first(_stored_wide(spark, sf)).select(*C.WIDE_KEYS, "players")
 
 
 @query
@@ -774,6 +801,12 @@ def c2_loaded_shape(spark, sf):
     return checks.loaded_shape(_wide(spark, sf))
 
 
+@query
+def c2_loaded_narrow_shape(spark, sf):
+    """The narrow fact held against the wide fact's columns, which it has a part of."""
+    return checks.loaded_shape(serving.load_narrow(facts.build_narrow(_in(spark, sf), AS_OF), AS_OF, 7))
+
+
 @query
 def c3_unbalanced_totals(spark, sf):
     return checks.unbalanced_totals(_wide(spark, sf))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbledger import config as C
 from ebbledger.functions.scalars import as_date, date_pair, days_before, lenient_date, lenient_number_sql
+from ebbledger.sources.versioned import VersionedTable
 
 NARROW_COLUMNS = (
     "date",
@@ -25,7 +28,8 @@ NARROW_COLUMNS = (
 def load_serving(table: DataFrame, as_of=None, days: int | None = None) -> DataFrame:
     """The wide fact's 52 columns, newest day first; with `days`, only that many days back (0 is no limit).
 
-    The dimensions break ties, so that the sort can spread one day over tasks.
+    The dimensions break ties, so that the sort can spread one day over tasks. A
+    stored table needs no such sort: `load_newest_first`.
     """
     df = table.select(*C.WIDE_COLUMNS)
     if days:
@@ -33,6 +37,19 @@ def load_serving(table: DataFrame, as_of=None, days: int | None = None) -> DataF
     return df.orderBy(F.col("date").desc(), *C.DIMENSIONS)
 
 
+def load_newest_first(table: VersionedTable, as_of=None, days: int | None = None, before: date | None = None) -> DataFrame:
+    """The same from a stored table, without a shuffle: its days are scanned one after the other, newest first.
+
+    Which days there are is known from the manifest, so no other is read. The order
+    of dimensions is made inside a day, by one task for each; a day of the fact has
+    as many rows as segments. `before` leaves out the days from then on.
+    """
+    first = as_date(as_of) - timedelta(days=days) if days else date.min
+    wanted = [d for d in reversed(table.days()) if first <= d and (before is None or d < before)]
+    ordered = [table.read([d]).select(*C.WIDE_COLUMNS).coalesce(1).orderBy(*C.DIMENSIONS) for d in wanted]
+    return reduce(DataFrame.unionAll, ordered) if ordered else table.read([]).select(*C.WIDE_COLUMNS)
+
+
 def load_narrow(table: DataFrame, as_of, days: int) -> DataFrame:
     """The narrow fact's columns, every row of the last days."""
     return table.select(*NARROW_COLUMNS).where(F.col("date") >= days_before(as_of, days))
@@ -83,16 +100,19 @@ def days_needed(as_of, requested_range, loaded_range) -> int | None:
     return (as_date(as_of) - requested[0]).days + 1
 
 
-def load_covering(table: DataFrame, as_of, requested_range, loaded_days: int | None = None) -> DataFrame:
-    """The table loaded `loaded_days` back, or further if the requested range begins before that.
+def load_covering(table: VersionedTable, as_of, requested_range, loaded: DataFrame, loaded_days: int) -> DataFrame:
+    """What is `loaded`, from `loaded_days` back, and below it the older days that the requested range begins with.
 
-    What counts are the days loaded, not the rows found in them: a short load
-    that holds nothing is still short. Without `loaded_days` all is loaded.
+    Only the missing days are read; both parts are newest first, and so is the
+    whole. What counts are the days loaded, not the rows found in them: a short
+    load that holds nothing is still short. 0 loaded days are all of them.
     """
     requested = date_pair(requested_range)
-    if requested is not None and loaded_days:
-        loaded_days = max(loaded_days, (as_date(as_of) - requested[0]).days + 1)
-    return load_serving(table, as_of, loaded_days)
+    start = as_date(as_of) - timedelta(days=loaded_days)
+    if requested is None or not loaded_days or requested[0] >= start:
+        return loaded
+    back = (as_date(as_of) - requested[0]).days + 1
+    return loaded.unionAll(load_newest_first(table, as_of, back, before=start))
 
 
 def select_segments(table: DataFrame, segments: Mapping[str, list] | None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writing tables: replace, refresh by day, and intermediate results in the shared folder."""
+"""Writing tables: replaced as a whole, and intermediate results in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbledger.functions.scalars import as_date
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it in spark.checkpoint.dir."""
@@ -23,7 +21,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _by_day(df: DataFrame) -> DataFrame:
+def by_day(df: DataFrame) -> DataFrame:
     """Rows of a day together, in files of the advisory size; a large day is split over several tasks."""
     return df.hint("rebalance", F.col("date"))
 
@@ -38,29 +36,10 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Replaces the table, partitioned by date, and returns a scan of it. A frame that reads the table itself is refused."""
     if _reads(df, path):
         raise ValueError(f"the frame reads {path}, which replacing would destroy")
-    _by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
+    by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
     return read_table(df.sparkSession, path, df)
 
 
-def refresh_dates(df: DataFrame, path: str, days) -> DataFrame:
-    """Replaces the stated days: rows of those days are written, days of them without rows are cleared.
-
-    Running it again changes nothing. Rows of other days are refused by dropping
-    out: the frame is cut to the days.
-    """
-    spark, wanted = df.sparkSession, sorted({as_date(d) for d in days})
-    kept = df.where(F.col("date").isin(*wanted)) if wanted else df.limit(0)
-    present = {row["date"] for row in kept.select("date").distinct().collect()}  # at most the stated days
-    if present:
-        _by_day(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for day in wanted:
-        if day not in present:
-            folder = hadoop.Path(f"{path.rstrip('/')}/date={day.isoformat()}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return read_table(spark, path, df)
-
-
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A scan of a stored table, in the column order of the frame it was written from."""
     return spark.read.schema(like.schema).parquet(path).select(*like.columns)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ebbledger import config as C
 from ebbledger.functions import scalars as E
-from ebbledger.operators import filters, joins, metrics
+from ebbledger.operators import checks, filters, joins, metrics
 from ebbledger.sources import schemas, serving, sinks
+from ebbledger.sources.versioned import VersionedTable
 
 CHAPTERS = {0: "0-10", 10: "0-10", 11: "11-20", 20: "11-20", 21: "21-50", 50: "21-50", 51: "50+", None: "50+", -1: "50+"}
 BALANCES = {
@@ -164,22 +165,90 @@ def test_versioned_spend(spark):
     assert metrics.versioned_spend(df, ["distinct_id"], "version").first().generation_credits_spent == 30 + 10 + 10
 
 
-def test_replace_and_refresh(spark, tmp_path):
+D1, D2, D3 = (date(2024, 1, n) for n in (1, 2, 3))
+
+
+@pytest.fixture
+def versioned(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "fact"))
+    table.replace(days_frame(spark, [(1, D1), (2, D2)]))
+    return table
+
+
+def days_frame(spark, rows):
+    return spark.createDataFrame(rows, "v int, date date")
+
+
+def held(df):
+    return sorted((r.v, r.date) for r in df.collect())
+
+
+def test_replace_refuses_its_own_source(spark, tmp_path):
     path = str(tmp_path / "fact")
-    d1, d2, d3 = (date(2024, 1, n) for n in (1, 2, 3))
-    frame = lambda rows: spark.createDataFrame(rows, "v int, date date")
-    sinks.replace_table(frame([(1, d1), (2, d2)]), path)
-    for _ in range(2):
-        table = sinks.refresh_dates(frame([(20, d2), (30, d3)]), path, [d2, "2024-01-03"])
-        assert sorted((r.v, r.date) for r in table.collect()) == [(1, d1), (20, d2), (30, d3)]
-    assert table.columns == ["v", "date"]
-    for left in ([(1, d1), (30, d3)], [(1, d1)]):  # a day that comes back empty is cleared, others stay
-        table = sinks.refresh_dates(frame([(99, d1)] if len(left) == 2 else []), path, [d2 if len(left) == 2 else d3])
-        assert sorted((r.v, r.date) for r in table.collect()) == left
+    table = sinks.replace_table(days_frame(spark, [(1, D1), (2, D2)]), path)
+    assert table.columns == ["v", "date"] and held(table) == [(1, D1), (2, D2)]
     with pytest.raises(ValueError, match="reads"):
         sinks.replace_table(table, path)
-    replaced = sinks.replace_table(frame([(7, d3)]), path)
-    assert [(r.v, r.date) for r in replaced.collect()] == [(7, d3)]
+    assert held(sinks.replace_table(days_frame(spark, [(7, D3)]), path)) == [(7, D3)]
+
+
+def test_refresh_replaces_the_stated_days(spark, versioned):
+    for _ in range(2):
+        table = versioned.refresh(days_frame(spark, [(20, D2), (30, D3)]), [D2, "2024-01-03"])
+        assert held(table) == [(1, D1), (20, D2), (30, D3)] and table.columns == ["v", "date"]
+    assert held(versioned.refresh(days_frame(spark, [(99, D1)]), [D2])) == [(1, D1), (30, D3)]  # D2 has no rows, D1 is not stated
+    assert held(versioned.refresh(days_frame(spark, []), [D3])) == [(1, D1)] and versioned.days() == [D1]
+    assert held(versioned.refresh(versioned.read().selectExpr("v + 1 AS v", "date"), [D1])) == [(2, D1)]  # reads itself
+    assert held(versioned.refresh(days_frame(spark, [(5, D2)]), [])) == [(2, D1)]
+    with pytest.raises(ValueError, match="columns"):
+        versioned.refresh(spark.createDataFrame([("x", D1)], "v string, date date"), [D1])
+    assert held(versioned.refresh(days_frame(spark, []), [D1])) == [] == versioned.days()
+    assert [tuple(r) for r in versioned.replace(days_frame(spark, [(4, None)])).collect()] == [(4, None)]
+
+
+def test_a_refresh_that_stops_leaves_the_old_table(spark, versioned, monkeypatch):
+    """The new files are there and the switch did not come: readers have the table before. A reader of before keeps its files after."""
+    before = versioned.read()
+
+    def stopped(self, manifest):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "_switch", stopped)
+        with pytest.raises(OSError):
+            versioned.refresh(days_frame(spark, [(20, D2), (30, D3)]), [D2, D3])
+    assert held(versioned.read()) == [(1, D1), (2, D2)]
+    assert held(versioned.refresh(days_frame(spark, [(20, D2)]), [D1, D2])) == [(20, D2)]
+    assert held(before) == [(1, D1), (2, D2)]
+    assert versioned.vacuum() == 5 and held(versioned.read()) == [(20, D2)]  # 4 unused versions, 1 manifest
+    assert versioned.vacuum() == 0
+
+
+def test_refreshes_at_a_time_keep_each_others_days(spark, versioned, monkeypatch):
+    """Another refresh takes the next number between reading the manifest and the switch."""
+    plain, taken = VersionedTable._switch, []
+
+    def late(self, manifest):
+        if not taken:
+            taken.append(manifest.number)
+            VersionedTable(spark, self.path).refresh(days_frame(spark, [(30, D3)]), [D3])
+        return plain(self, manifest)
+
+    monkeypatch.setattr(VersionedTable, "_switch", late)
+    assert held(versioned.refresh(days_frame(spark, [(20, D2)]), [D2])) == [(1, D1), (20, D2), (30, D3)]
+    assert versioned.manifest().number == taken[0] + 1
+
+
+def test_a_refresh_computes_its_frame_once(spark, versioned):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    versioned.refresh(days_frame(spark, [(20, D2), (30, D3)]).mapInPandas(seen, "v int, date date"), [D2, D3])
+    assert rows.value == 2
 
 
 def test_narrow_load_keeps_every_row(spark):
@@ -188,11 +257,57 @@ def test_narrow_load_keeps_every_row(spark):
     assert columns and serving.load_narrow(many, date(2024, 1, 31), 7).count() == 1_200_000
 
 
-def test_covering_load_counts_days_not_rows(spark):
-    table = spark.createDataFrame([(date(2024, 1, 10),)], "date date").select("date", *(F.lit(0).alias(c) for c in C.WIDE_COLUMNS if c != "date"))
+@pytest.fixture
+def wide_days(spark, tmp_path):
+    """A stored wide fact with rows on days 1, 3, 10 and 28 of the month."""
+    days = [(date(2024, 1, d), n) for d in (3, 28, 1, 10) for n in range(2)]
+    rows = spark.createDataFrame(days, "date date, first_chapter_bucket long")
+    table = VersionedTable(spark, str(tmp_path / "wide"))
+    table.replace(rows.select("date", "first_chapter_bucket", *(F.lit(0).alias(c) for c in C.WIDE_COLUMNS if c not in ("date", "first_chapter_bucket"))))
+    return table
+
+
+def order_of(df):
+    return [(r.date.day, r.first_chapter_bucket) for r in df.collect()]
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_first_without_a_shuffle(wide_days):
+    as_of = date(2024, 1, 31)
+    loaded = serving.load_newest_first(wide_days)
+    assert order_of(loaded) == [(28, 0), (28, 1), (10, 0), (10, 1), (3, 0), (3, 1), (1, 0), (1, 1)]
+    assert "Exchange" not in physical(loaded) and loaded.columns == list(C.WIDE_COLUMNS)
+    assert order_of(serving.load_newest_first(wide_days, as_of, 21)) == [(28, 0), (28, 1), (10, 0), (10, 1)]
+    assert order_of(serving.load_newest_first(wide_days, as_of, 1)) == []
+    whole = serving.load_serving(wide_days.read(), as_of, 0)
+    assert order_of(whole) == order_of(loaded)
+
+
+def test_covering_load_reads_the_missing_days_only(wide_days):
     as_of = date(2024, 1, 31)
-    assert serving.load_covering(table, as_of, (date(2024, 1, 5), date(2024, 1, 15)), 5).count() == 1
-    assert serving.load_covering(table, as_of, None, 5).count() == 0 and serving.load_covering(table, as_of, None).count() == 1
+    loaded = serving.load_newest_first(wide_days, as_of, 5)
+    asked = lambda first, days=5, frame=loaded: serving.load_covering(wide_days, as_of, (first, as_of), frame, days)
+    more = asked(date(2024, 1, 3))
+    assert order_of(more) == [(28, 0), (28, 1), (10, 0), (10, 1), (3, 0), (3, 1)]
+    older = [f for f in more.inputFiles() if f not in loaded.inputFiles()]
+    assert {f.split("date=")[1][:10] for f in older} == {"2024-01-10", "2024-01-03"}
+    assert order_of(asked(date(2024, 1, 27))) == order_of(loaded) == order_of(serving.load_covering(wide_days, as_of, None, loaded, 5))
+    # Two days that held nothing are short all the same; everything loaded is never short.
+    assert order_of(asked(date(2024, 1, 10), 2, serving.load_newest_first(wide_days, as_of, 2))) == [(28, 0), (28, 1), (10, 0), (10, 1)]
+    assert len(order_of(asked(date(2023, 1, 1), 0, serving.load_newest_first(wide_days)))) == 8
+
+
+def test_sums_over_very_many_bins_of_one_key(spark):
+    """A hot key with 120,000 bins: the running sums are made in groups of bins, and no group is larger than one."""
+    bins = spark.range(0, 120_000, 1, 8).select(F.lit("hot").alias("k"), (F.col("id") - 60_000).alias("b"), F.lit(1).alias("n"))
+    got = joins._sums_before(bins, "k", "b", ["n"])
+    assert got.where(F.col("_beforen") != F.col("b") + 60_000).count() == 0 and got.count() == 120_000
+    assert bins.groupBy(F.floor(F.col("b") / joins.BINS_OF_A_GROUP)).count().agg(F.max("count")).first()[0] == joins.BINS_OF_A_GROUP
+    windows = [line for line in physical(got).splitlines() if "Window [" in line]
+    assert windows and all("_group" in line for line in windows)
 
 
 def test_range_filter_takes_one_end_and_refuses_nonsense(spark):
@@ -217,3 +332,10 @@ def test_window_sums_are_linear_and_right_for_one_hot_key(spark):
         got = joins.sum_in_windows(e, w, "key", "at", "a", "b", "v", "total", bin_seconds)
         assert [tuple(x) for x in got.collect()] == [("k", want)]
         assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loaded_shape_of_frames_that_fail_it(spark):
+    shape = lambda df: tuple(checks.loaded_shape(df).first())
+    whole = spark.createDataFrame([(0,)], "x int").select(*(F.lit(0).alias(c) for c in C.WIDE_COLUMNS))
+    assert shape(whole) == (1, 52, 0) and shape(whole.where("players > 0")) == (0, 52, 0)
+    assert shape(whole.drop("players", "date").withColumn("surplus", F.lit(1))) == (1, 50, 2)

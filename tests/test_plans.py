@@ -7,12 +7,12 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from ebbledger.operators import calendar, joins
+from ebbledger.operators import calendar, filters, joins
 from ebbledger.plans.catalog import CATALOG
 from ebbledger.plans import views
 from ebbledger.plans.facts import build_long, build_narrow, build_wide
 from ebbledger.sources import sinks
-from ebbledger.sources.inputs import AS_OF, benchmark_inputs, stored_inputs
+from ebbledger.sources.inputs import AS_OF, benchmark_inputs, scan_events, stored_inputs
 from ebbledger.sources.serving import normalise, select_segments
 
 
@@ -131,6 +131,49 @@ def test_event_joins_can_be_split(spark, large, name):
     assert len(sides) == 2 and all("ENSURE_REQUIREMENTS" in lines[n + 1] for n in sides)
 
 
+def files_read(df, column) -> list[int]:
+    """Number of files that each scan with the column read, once the frame has run."""
+    df.collect()
+    root, found = df._jdf.queryExecution().executedPlan(), []
+
+    def visit(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return visit(node.plan())
+        if name == "FileSourceScanExec" and column in node.toString():
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        for n in range(children.size()):
+            visit(children.apply(n))
+
+    visit(root)
+    return found
+
+
+def test_window_skips_the_folders_of_other_days(spark, stored):
+    whole = len(stored.events.inputFiles())
+    recent = scan_events(stored.events, AS_OF, 7)
+    (scan,) = scans_of(plan(recent), "mp_event_name")
+    assert "PartitionFilters: [isnotnull(date), (date >= 2024-01-24), (date < 2024-01-31)]" in scan
+    days = {f.split("date=")[1][:10] for f in stored.events.inputFiles()}
+    one_a_day = whole // len(days)
+    assert files_read(recent, "mp_event_name") == [7 * one_a_day] and whole == len(days) * one_a_day
+
+
+def test_days_of_another_table_skip_folders_at_run_time(spark, stored):
+    """The other table says which days while the query runs; the scan then leaves out the files of all others."""
+    few = stored.player_days.where("total_purchase_revenue > 300")
+    n, whole = few.select("date").distinct().count(), len({f.split("date=")[1][:10] for f in stored.events.inputFiles()})
+    assert 0 < n < whole
+    kept = filters.on_days(stored.events, few)
+    (scan,) = scans_of(plan(kept), "mp_event_name")
+    assert "dynamicpruning" in scan.split("PushedFilters")[0]
+    assert files_read(kept, "mp_event_name") == [n * len(stored.events.inputFiles()) // whole]
+    assert kept.select("date").distinct().count() == n
+
+
 def test_views_prune_the_pivot(stored):
     from ebbledger.operators.metrics import daily_sums, kpis
     from ebbledger.sources.serving import normalise
