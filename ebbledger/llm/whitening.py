@@ -11,8 +11,9 @@ n XX' - SS' is centred as whole numbers before it is turned into doubles.
 Left out: vectors that are null, empty, or hold null or non-finite entries, and
 vectors of another length than the most common one (the longer, if two are as
 common). Entries beyond 64 bits are held at their ends. Repeated rows are kept,
-each with its own result, and count once in the fit. Components without variance
-are not returned: a table of one distinct vector has none, an empty table no rows.
+each with its own result, and count once in the fit. Components without variance,
+or with none that doubles can tell beside the largest, are not returned: a table of
+one distinct vector has none, an empty table no rows.
 A deviation beyond 64 bits is null. Columns other than vec_id and embedding play no part.
 """
 
