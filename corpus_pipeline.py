@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number and digest of the token ids, and digest of the text decoded from them, for each row."""
-    return bpe.digests(bpe.decode(bpe.encode(docs, BPE_FILE), BPE_FILE))
+    return bpe.digests(bpe.round_trip(docs, BPE_FILE))
 
 
 STAGES = [

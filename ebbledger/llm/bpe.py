@@ -39,9 +39,10 @@ _space = "\t\n\v\f\r \x85\xa0"
 OLD = re.compile(r"[\x00-\u0557]*\Z")
 #: Fixed, as published with the vocabulary: contractions; letters, numbers or other signs after at most one space; space.
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_letter}]+| ?[{_number}]+| ?[^{_space}{_letter}{_number}]+|[{_space}]+(?![^{_space}])|[{_space}]+")
-#: Between these, a single space always begins a pre-token; a text without the second kind has no other spaces.
+#: Between these, a single space always begins a pre-token.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\A | \Z| \s|\s ")
+#: White space other than the space.
+BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
 #: Pieces of text a worker remembers between batches; at this many it starts anew.
 REMEMBERED = 200_000
 
@@ -63,6 +64,12 @@ def vocabulary(file: str) -> tuple[dict, dict[bytes, int], dict[str, int], dict[
     return told, ids, special, {i: b for b, i in ids.items()} | {i: s.encode() for s, i in special.items()}
 
 
+def odd(text: str) -> bool:
+    """Whether some space of a text is not a single one between two other characters."""
+    beside = (c for c in BLANKS if c in text)
+    return text[0] == " " or text[-1] == " " or "  " in text or any(" " + c in text or c + " " in text for c in beside)
+
+
 class Merges:
     """Vocabulary and merge order of a byte-level tokenizer file."""
 
@@ -80,22 +87,22 @@ class Merges:
         #: Every beginning of a token is a state: what of the text so far can still become one.
         self.begins = [b"", *dict.fromkeys(token[:n] for token in self.ids for n in range(1, len(token) + 1))]
         self.states = {begin: i for i, begin in enumerate(self.begins)}
-        self.moves: dict[int, int] = {}
-        self.ends: list[list[tuple[int, int]] | None] = [None] * len(self.begins)
+        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.begins)
         self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.apart: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
-    def move(self, state: int, byte: int) -> int:
-        """The longest end of the text so far, with one more byte, that begins a token."""
+    def move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The longest end of the text so far, with one more byte, that begins a token; and the tokens that can end there."""
         seen = self.begins[state] + bytes([byte])
         to = next(self.states[seen[n:]] for n in range(len(seen) + 1) if seen[n:] in self.states)
-        self.moves[state << 8 | byte] = to
         if self.ends[to] is None:
             seen = self.begins[to]
             suffixes = ((len(seen) - n, self.ids.get(seen[n:])) for n in range(len(seen)))
-            self.ends[to] = [(n, token) for n, token in suffixes if token is not None and self.whole(token)]
-        return to
+            self.ends[to] = tuple((n, token) for n, token in suffixes if token is not None and self.whole(token))
+        self.moves[state << 8 | byte] = made = to, self.ends[to]
+        return made
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge while the token grows, with the rank of the merge that made each."""
@@ -162,10 +169,10 @@ class Encoder:
         self.later: dict[str, bytes] = {}
         self.marks = re.compile("(" + "|".join(map(re.escape, merges.special)) + ")") if merges.special else None
 
-    def words_of(self, piece: str) -> list[str]:
+    def words_of(self, piece: str, old: bool) -> list[str]:
         """The pre-tokens of a text. Letters newer than the pattern's classes are left to the tokenizer's own splitter."""
-        if OLD.match(piece):
-            return SPLIT.findall(piece)
+        if old or OLD.match(piece):
+            return [piece] if piece.lstrip(" ").isalpha() and piece[:2] != "  " else SPLIT.findall(piece)
         return [piece[a:b] for _, (a, b) in pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(piece)]
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -176,8 +183,7 @@ class Encoder:
         and down the rest. last[d] is the last token of the first d bytes, states[d]
         says which tokens can end there. Ids are 32-bit numbers in a row.
         """
-        merges, moves, ends, apart = self.merges, self.merges.moves, self.merges.ends, self.merges.apart
-        size = merges.size
+        merges, moves, apart, size = self.merges, self.merges.moves, self.merges.apart, self.merges.size
         found, path, last, states = {}, b"", [-1], [0]
         for word in sorted(w.encode() for w in words):
             depth, most = 0, min(len(path), len(word))
@@ -187,18 +193,15 @@ class Encoder:
             state = states[depth]
             for byte in word[depth:]:
                 depth += 1
-                to = moves.get(state << 8 | byte)
-                state = merges.move(state, byte) if to is None else to
+                state, ends = moves.get(state << 8 | byte) or merges.move(state, byte)
                 states.append(state)
-                for length, token in ends[state]:
+                for length, token in ends:
                     if length == depth:
-                        last.append(token)
                         break
-                    before = last[depth - length]
-                    fits = apart.get(before << 32 | token)
-                    if merges.stable(before, token) if fits is None else fits:
-                        last.append(token)
+                    fits = apart.get(last[depth - length] << 32 | token)
+                    if fits or (fits is None and merges.stable(last[depth - length], token)):
                         break
+                last.append(token)
             path, tokens, at = word, [], len(word)
             while at:
                 tokens.append(last[at])
@@ -218,14 +221,15 @@ class Encoder:
             cut.append([])
             for part in parts:
                 if part:
-                    head, *rest = [part] if part in self.merges.special else part.split(" ") if not ODD.search(part) else BETWEEN.split(part)
+                    head, *rest = [part] if part in self.merges.special else BETWEEN.split(part) if odd(part) else part.split(" ")
                     cut[-1].append((head, rest))
         if len(self.first) + len(self.later) > REMEMBERED:
             self.first, self.later = {}, {}
         for mark, token in self.merges.special.items():
             self.first[mark] = array("i", [token]).tobytes()
-        heads = {x: self.words_of(x) for x in {head for parts in cut for head, _ in parts} - self.first.keys()}
-        rests = {x: self.words_of(" " + x) for x in set(chain.from_iterable(rest for parts in cut for _, rest in parts)) - self.later.keys()}
+        old = all(OLD.match(text) for text in texts if text)
+        heads = {x: self.words_of(x, old) for x in {head for parts in cut for head, _ in parts} - self.first.keys()}
+        rests = {x: self.words_of(" " + x, old) for x in set(chain.from_iterable(rest for parts in cut for _, rest in parts)) - self.later.keys()}
         words = self.learn(set(chain.from_iterable(heads.values())) | set(chain.from_iterable(rests.values())))
         for known, new in ((self.first, heads), (self.later, rests)):
             for piece, parts in new.items():
@@ -253,40 +257,69 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         begin += rows
 
 
+IDS, TEXTS = "doc_id long, ids array<int>", "doc_id long, ids array<int>, text string"
+
+
+def _encoded(piece: pa.RecordBatch, file: str) -> pa.RecordBatch:
+    ids = opened(file).batch(piece.column("text").to_pylist())
+    at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+    return pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "ids"])
+
+
+class Decoder:
+    """The bytes of all ids in a row, and where each begins."""
+
+    def __init__(self, file: str):
+        table = vocabulary(file)[3]
+        known = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.size = np.array([len(x) for x in known])
+        self.begin, self.letters = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(known), np.uint8)
+
+    def decoded(self, piece: pa.RecordBatch) -> pa.RecordBatch:
+        lists = piece.column("ids")
+        ids, n = lists.flatten().to_numpy(), np.array(lists.value_lengths())
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        made = self.letters[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[ids] - ends + size, size)].tobytes()
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))]
+        texts = [made[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+
 def encode(docs: DataFrame, file: str) -> DataFrame:
     """doc_id, ids: the token ids of every whole text, as its tokenizer file has them."""
 
     def run(batches):
-        encoder = opened(file)
         for batch in batches:
             for piece in slices(batch, "text"):
-                ids = encoder.batch(piece.column("text").to_pylist())
-                at = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "ids"])
+                yield _encoded(piece, file)
 
-    return text_rows(docs).withColumns({"doc_id": F.col("doc_id").cast("long")}).mapInArrow(run, "doc_id long, ids array<int>")
+    return text_rows(docs).withColumns({"doc_id": F.col("doc_id").cast("long")}).mapInArrow(run, IDS)
 
 
 def decode(encoded: DataFrame, file: str) -> DataFrame:
     """doc_id, ids, text: the ids turned back into text; bytes that are not UTF-8 become U+FFFD."""
 
     def run(batches):
-        table = vocabulary(file)[3]
-        known = [table.get(i, b"") for i in range(max(table) + 1)]
-        size = np.array([len(x) for x in known])
-        begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(known), np.uint8)
+        decoder = Decoder(file)
         for batch in batches:
             for piece in slices(batch, "ids"):
-                lists = piece.column("ids")
-                ids, n = lists.flatten().to_numpy(), np.array(lists.value_lengths())
-                ends = np.cumsum(size[ids])
-                made = letters[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[ids] - ends + size[ids], size[ids])].tobytes()
-                cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))]
-                texts = [made[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+                yield decoder.decoded(piece)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, TEXTS)
+
+
+def round_trip(docs: DataFrame, file: str) -> DataFrame:
+    """decode(encode(docs)), both in one process of a task: the ids do not travel in between."""
+
+    def run(batches):
+        decoder = Decoder(file)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                yield decoder.decoded(_encoded(piece, file))
+
+    return text_rows(docs).withColumns({"doc_id": F.col("doc_id").cast("long")}).mapInArrow(run, TEXTS)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

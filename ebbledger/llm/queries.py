@@ -19,7 +19,7 @@ def held_out(condition: Column) -> Column:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), BPE_FILE))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
