@@ -91,7 +91,7 @@ def signed(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         by = factors(k)
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text", 500_000):
                 h, at = shingle_sets(piece.column("text").to_pylist(), size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
@@ -147,7 +147,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text", 500_000):
                 h, at = shingle_sets(piece.column("text").to_pylist(), size)
                 sets = [h[x:y].tobytes() for x, y in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])

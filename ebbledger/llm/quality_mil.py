@@ -150,7 +150,7 @@ def learn(labelled: DataFrame) -> Model:
 
     def bags(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text", 500_000):
                 x, n = described(piece.column("text").to_pylist())
                 begin = np.concatenate(([0], np.cumsum(n)[:-1]))
                 kept = [x[b + np.unique(np.linspace(0, k - 1, min(k, FIT_PASSAGES)).astype(int))] for b, k in zip(begin, n)]
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text", 500_000):
                 x, n = described(piece.column("text").to_pylist())
                 o = model.forward(x, n)
                 begin = np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -185,7 +185,7 @@ def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
+            for piece in slices(batch, "text", 500_000):
                 x, n = described(piece.column("text").to_pylist())
                 yield piece.filter(pa.array(model.forward(x, n)["score"] >= least))
 
