@@ -36,11 +36,11 @@ from ebbledger.llm.common import text_rows
 
 #: Lengths of word beginnings that can be terms.
 STEMS = range(4, 8)
-#: A term is kept when in this many toxic documents, and this many standard errors over chance; the heaviest so many.
-LEAST_TOXIC, LEAST_Z, MOST_TERMS = 5, 6.0, 2_000
-#: A phrase is an exception when in this many clean documents and in no toxic one; the most frequent so many.
-LEAST_CLEAN, MOST_EXCEPTIONS = 3, 5_000
-#: Labelled documents that the lexicon is learned from, and those that the curve is fitted on, at most.
+#: A term is kept when in this many toxic documents, and this many standard errors over chance.
+LEAST_TOXIC, LEAST_Z = 5, 6.0
+#: A phrase is an exception when in this many clean documents and in no toxic one.
+LEAST_CLEAN = 3
+#: Labelled documents that the lexicon is learned from, and those that the curve is fitted on, at most: they bound the lexicon too.
 LEARN_DOCS, FIT_DOCS = 200_000, 20_000
 
 #: Fixed: letters of other scripts that look like Latin ones.
@@ -49,7 +49,7 @@ LOOKALIKES = dict(zip("авекмнорстухіјѕԁɡһαβεικνορτυ
 STANDINS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 _foreign = re.compile(r"[^\x00-\x7f]")
-_standin = re.compile(r"[013457@$!|](?=[013457@$!|]*[a-z])(?<![a-z]{2}[!|])|(?<=[a-z])[013457](?![0-9])")
+_standins = re.compile(r"[013457@$!|]+")
 _between = re.compile(r"[\W\d_]+")
 _letters: dict[str, str] = {}
 
@@ -66,10 +66,29 @@ def plain(letter: str) -> str:
     return known
 
 
+def _is_letter(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and "a" <= text[at] <= "z"
+
+
+def unmasked(run: re.Match) -> str:
+    """A whole run of stand-ins as letters, looked at once however long it is.
+
+    Before a letter all of it stands for letters, but for a mark that ends a word of
+    two letters or more. Elsewhere only a digit right after a letter does, if no other follows.
+    """
+    text, found, begin, end = run.string, run[0], run.start(), run.end()
+    if _is_letter(text, end):
+        ends_word = found[0] in "!|" and _is_letter(text, begin - 1) and _is_letter(text, begin - 2)
+        return found[:ends_word] + "".join([STANDINS[c] for c in found[ends_word:]])
+    if found[0].isdigit() and _is_letter(text, begin - 1) and not "0" <= text[begin + 1 : begin + 2] <= "9":
+        return STANDINS[found[0]] + found[1:]
+    return found
+
+
 def folded(text: str) -> str:
     """The text as lower-case words between single spaces, one at either end."""
     text = _foreign.sub(lambda m: plain(m[0]), text.lower())
-    text = _standin.sub(lambda m: STANDINS[m[0]], text)
+    text = _standins.sub(unmasked, text)
     return f" {_between.sub(' ', text).strip()} "
 
 
@@ -152,8 +171,6 @@ def learn(labelled: DataFrame, exceptions: frozenset[str] = frozenset()) -> Lexi
         .withColumn("pool", (F.col("bad") + F.col("good")) / (bad + good))
         .withColumn("z", (F.col("bad") / bad - F.col("good") / good) / F.sqrt(F.col("pool") * (1 - F.col("pool")) * (1 / bad + 1 / good) + 1e-12))
         .filter((F.col("z") >= LEAST_Z) & (F.col("weight") > 1))
-        .orderBy(F.desc("z"), "term")
-        .limit(MOST_TERMS)
         .collect()
     )
     lexicon = Lexicon({row["term"]: row["weight"] for row in kept}, set(exceptions))
@@ -174,8 +191,6 @@ def learn(labelled: DataFrame, exceptions: frozenset[str] = frozenset()) -> Lexi
         .groupBy("phrase")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .filter((F.col("bad") == 0) & (F.col("good") >= LEAST_CLEAN))
-        .orderBy(F.desc("good"), "phrase")
-        .limit(MOST_EXCEPTIONS)
         .collect()
     )
     lexicon.exceptions |= {row["phrase"] for row in clean}
