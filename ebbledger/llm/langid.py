@@ -1,11 +1,11 @@
 """Language identification by compression.
 
-Each language has a raw-content dictionary: a bounded sample of its own text. A
+Each language has a raw-content dictionary: a bounded sample of its own texts. A
 text, in lower case, is cut into blocks, every block is compressed once with each
 dictionary, and the language with the smallest total wins. Blocks keep the
 dictionary in play throughout a long text. The score is the share saved over the
 runner-up; where it is under a margin, the row is marked rejected but keeps its
-best guess. For short texts with equal sizes, all their ends are compressed too.
+best guess. Where sizes are equal, all ends of the last block are compressed too.
 
 A null text, or one without a letter, is `und` with score 0. Ties go to the
 language with more learned documents, then to the first in alphabetical order. With a single language, texts get it with
@@ -23,34 +23,52 @@ from pyspark.sql import functions as F
 from ebbledger.llm.bpe import slices
 from ebbledger.llm.common import text_rows
 
-#: Bounds of a language's dictionary: documents sampled, characters of each, and bytes kept.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2_240, 400_000
-#: Bytes compressed at a time, the compressor's level, and up to what length ends are compared.
-BLOCK, LEVEL, SHORT = 4_096, 6, 200
+#: Texts are cut into samples of this many characters; bounds of a language's dictionary: samples, and their bytes.
+SAMPLE_CHARS, SAMPLES, DICTIONARY_BYTES = 2_240, 400, 400_000
+#: Bytes compressed at a time, and the compressor's level.
+BLOCK, LEVEL = 4_096, 6
 #: Under this share saved over the second best language, a row is marked rejected.
 MARGIN = 0.02
 
 
-def dictionaries(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """For each lang, its texts in the order of their hashes: at most `docs` of them and `size` bytes.
+def dictionaries(labelled: DataFrame, samples: int = SAMPLES, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """For each lang, different samples of its texts in the order of their hashes: at most `samples` of them and `size` bytes.
 
-    Languages with more documents come first. The hash order is a sample that does
-    not depend on partitions. The limit by rank is applied on the map side first,
-    so a hot language sends few rows.
+    Whole texts are cut into samples, so every part of them can be learned from.
+    Languages with more documents come first. The hash order does not depend on
+    partitions. From the number of different samples follows up to which hash some
+    twice as many lie as are wanted: only those are handed on, so a hot language, or
+    a text that a third of all rows repeat, sends few rows.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
     known = text_rows(labelled, "lang").filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    cut = known.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?s).{{1,{SAMPLE_CHARS}}}"), F.lit(0))).alias("text"))
+    cut = cut.select("lang", "text", F.xxhash64("text").alias("hash"))
     counts = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}  # one for each language
-    rows = (
-        known.select("lang", "doc_id", F.lower(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= docs)
-        .collect()
-    )
-    by: dict[str, list[tuple[int, str]]] = {}
-    for row in rows:
-        by.setdefault(row["lang"], []).append((row["rank"], row["text"]))
-    return {lang: b"\n".join(text.encode() for _, text in sorted(texts))[:size] for lang, texts in sorted(by.items(), key=lambda x: (-counts[x[0]], x[0]))}
+    different = cut.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()  # one for each language
+    if not different:
+        return {}
+    upto = F.create_map(*[F.lit(x) for r in different for x in (r["lang"], last_hash(r["n"], 2 * samples + 200))])
+    few = cut.filter(F.col("hash") <= F.try_element_at(upto, F.col("lang"))).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("rank") <= samples)
+    by: dict[str, list[tuple[int, bytes]]] = {}
+    for row in ranked.collect():
+        by.setdefault(row["lang"], []).append((row["rank"], row["text"].encode()))
+    return {lang: joined(sorted(by[lang]), size) for lang in sorted(by, key=lambda x: (-counts[x], x))}
+
+
+def last_hash(n: int, wanted: int) -> int:
+    """The 64-bit hash up to which about `wanted` of n different ones lie."""
+    return 2**63 - 1 if n <= wanted else 2**64 * wanted // n - 2**63
+
+
+def joined(ranked: list[tuple[int, bytes]], size: int) -> bytes:
+    """Whole samples in their order, while they fit."""
+    out, room = [], size
+    for _, text in ranked:
+        if len(text) + 1 <= room:
+            out.append(text)
+            room -= len(text) + 1
+    return b"\n".join(out)
 
 
 class Sizes:
@@ -70,9 +88,9 @@ class Sizes:
         found = sorted((sum(len(c.compress(b)) for b in blocks), k) for k, c in enumerate(self.by))
         if len(found) == 1:
             return self.langs[0], 1.0
-        if len(data) < SHORT and found[0][0] == found[1][0]:
-            tied = [k for size, k in found if size == found[0][0]]
-            best = min((sum(len(self.by[k].compress(data[i:])) for i in range(len(data))), k) for k in tied)[1]
+        if found[0][0] == found[1][0]:
+            tied, end = [k for size, k in found if size == found[0][0]], blocks[-1]
+            best = min((sum(len(self.by[k].compress(end[i:])) for i in range(len(end))), k) for k in tied)[1]
             return self.langs[best], 0.0
         return self.langs[found[0][1]], 1.0 - found[0][0] / found[1][0]
 
