@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of their source wants, each once at least."""
     plan = mixing.planned(docs, repetitions=REPETITIONS)
-    return mixing.mixed(docs, plan).select(docs.columns)
+    return mixing.mixed(docs, plan, numbered=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

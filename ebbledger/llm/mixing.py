@@ -29,6 +29,8 @@ from ebbledger.llm.common import SPACE, stored
 
 #: Target entropy as a part of the largest possible, most passes through a source, documents in a block, name of the order.
 ENTROPY, REPETITIONS, BLOCK_DOCS, SEED = 0.9, 4.0, 2_000, "mix"
+#: Blocks of a source whose running sums are one task's; their groups are the next level.
+GROUP_BLOCKS = 1_024
 #: Rounds of the search, and halvings in each.
 ROUNDS, HALVINGS = 5, 6
 
@@ -88,7 +90,7 @@ def planned(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPE
     s = weighed.select(F.col("source").alias("s"), "blocks", "rest")
     placed = rows.join(s, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block_of(F.col("key"), F.col("blocks"))).drop("s", "blocks")
     sums = placed.groupBy("source", "block").agg(F.sum("n").alias("in_block"), F.first("rest").alias("rest"))
-    through = sums.withColumn("through", F.sum("in_block").over(Window.partitionBy("source").orderBy("block")))
+    through = running(sums)
     # the first block that does not fit as a whole; past the last block where all do
     ends = stored(through.filter(F.col("through") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct("block", (F.col("through") - F.col("in_block")).alias("before")), "block").alias("x")).select("source", "x.*"), "ends")
     e = ends.select(F.col("source").alias("s"), F.col("block").alias("b"), "before")
@@ -100,14 +102,30 @@ def planned(docs: DataFrame, entropy: float = ENTROPY, repetitions: float = REPE
     return out.select("source", "tokens", "weight", "budget", "passes", "blocks", F.when(F.col("rest") > 0, F.coalesce("last_block", "blocks")).otherwise(-1).alias("last_block"), F.coalesce("last_key", F.lit("")).alias("last_key"))
 
 
-def mixed(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of docs as often as the plan says, with `_epoch` (from 1) and `_block`; columns of docs stay as they are."""
-    p = plan.select(F.struct("source", "passes", "blocks", "last_block", "last_key").alias("_plan"))
-    df = docs.join(p, docs["source"].eqNullSafe(F.col("_plan.source"))).withColumn("_key", order_key(docs["doc_id"], seed)).withColumn("_block", block_of(F.col("_key"), F.col("_plan.blocks")))
-    more = (F.col("_block") < F.col("_plan.last_block")) | ((F.col("_block") == F.col("_plan.last_block")) & (F.col("_key") <= F.col("_plan.last_key")))
-    times = F.col("_plan.passes") + more.cast("long")
+def running(sums: DataFrame) -> DataFrame:
+    """sums (source, block, in_block, ..) with `through`, the sum up to each block, in two levels: a source with very many blocks is not one task."""
+    grouped = sums.withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
+    inside = Window.partitionBy("source", "group").orderBy("block")
+    before = Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy(F.col("source").alias("s"), F.col("group").alias("g")).agg(F.sum("in_block").alias("whole"))
+    groups = groups.select("s", "g", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("earlier"))
+    joined = grouped.withColumn("through", F.sum("in_block").over(inside)).join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g")))
+    return joined.select(*sums.columns, (F.col("through") + F.col("earlier")).alias("through"))
+
+
+def mixed(docs: DataFrame, plan: DataFrame, seed: str = SEED, numbered: bool = True) -> DataFrame:
+    """The rows of docs as often as the plan says; numbered, with `_epoch` (from 1) and `_block`. Any columns of docs stay as they are."""
+    taken = {"_epoch", "_block"} & set(docs.columns)
+    if numbered and taken:
+        raise ValueError(f"docs has columns {sorted(taken)} of its own")
+    p = plan.select(F.struct("source", "passes", "blocks", "last_block", "last_key").alias("plan"))
+    # The row travels as one column, so that no name of it can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), order_key(docs["doc_id"], seed).alias("key"))
+    df = rows.join(p, F.col("doc.source").eqNullSafe(F.col("plan.source"))).withColumn("_block", block_of(F.col("key"), F.col("plan.blocks")))
+    more = (F.col("_block") < F.col("plan.last_block")) | ((F.col("_block") == F.col("plan.last_block")) & (F.col("key") <= F.col("plan.last_key")))
+    times = F.col("plan.passes") + more.cast("long")
     df = df.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    return df.select(*docs.columns, "_epoch", "_block")
+    return df.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *(["_epoch", "_block"] if numbered else []))
 
 
 def oracle_sql(entropy: float = ENTROPY, repetitions: float = REPETITIONS, seed: str = SEED) -> str:
