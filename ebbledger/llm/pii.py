@@ -35,9 +35,9 @@ PATTERNS = {
 #: What a text must contain for a pattern to be worth a search.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "other"]
-#: A token with a digit; only those of these lengths and numbers of digits are candidates.
+#: A token with a digit; only those with this length and number of digits or more are candidates.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-CANDIDATE = "length(m) between 6 and 64 and length(regexp_replace(m, '[^0-9]', '')) >= 3"
+CANDIDATE = "length(m) >= 6 and length(regexp_replace(m, '[^0-9]', '')) >= 3"
 #: Bootstrapping: rounds, confidence needed, and different seeds that a pattern must have had.
 ROUNDS, CONFIDENT, LEAST_SEEDS = 3, 0.6, 5
 
@@ -50,28 +50,62 @@ VALID = {
     "phone": f"length({_digits}) between 8 and 15",
 }
 
+#: Elements of an array that are gone through together, and characters of a piece of text: what takes a step for
+#: each pair of elements, or counts characters from the start, stays inside such a part.
+PART, PIECE = 512, 4_096
+
 SPAN = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
 
 
+def parts(name: str) -> str:
+    """An array in parts, none for an empty one."""
+    return f"if(size({name}) > 0, transform(sequence(0, size({name}) - 1, {PART}), p -> slice({name}, p + 1, {PART})), array())"
+
+
+def running(name: str, values: str, step: str) -> list[dict[str, Column]]:
+    """Steps of columns that end in column `name`: for each of an array of whole numbers what step (of x, the one so far, and y) makes of those before it, from 0."""
+    last = "element_at(s, -1)"
+    onto = step.replace("x", last)
+    return [
+        {f"{name}_v": F.expr(values)},
+        {f"{name}_p": F.expr(parts(f"{name}_v"))},
+        {f"{name}_f": F.expr(f"aggregate({name}_p, array(0), (s, p) -> concat(s, array(aggregate(p, {last}, (x, y) -> {step}))))")},
+        {name: F.expr(f"flatten(transform({name}_p, (p, k) -> slice(aggregate(p, array({name}_f[k]), (s, y) -> concat(s, array({onto}))), 1, size(p))))")},
+    ]
+
+
 def spans(kind: str, pattern: str, valid: str, needs: str | None) -> list[dict[str, Column]]:
-    """Three steps of columns that end in column `kind`: valid matches with place, text and neighbours."""
+    """Steps of columns that end in column `kind`: valid matches with place, text and neighbours."""
     has = F.lit(True) if needs is None else F.contains("text", F.lit(needs))
-    found, cut = f"{kind}_m", f"{kind}_p"
+    found, cut, at = f"{kind}_m", f"{kind}_p", f"{kind}_at"
+    plain = lambda text: rf"translate({text}, '\t\n\u000B\f\r', '     ')"
+    left = f"if(i > 0, concat({found}[i - 1], {cut}[i]), {cut}[i])"
     walk = (
-        f"aggregate(sequence(0, size({found}) - 1), named_struct('at', 0, 'out', cast(array() as {SPAN})), (s, i) -> named_struct("
-        f"'at', s.at + length({cut}[i]) + length({found}[i]), 'out', concat(s.out, transform(filter(array({found}[i]), m -> {valid}), m -> named_struct("
-        f"'start', s.at + length({cut}[i]), 'end', s.at + length({cut}[i]) + length(m), 'm', m, "
-        rf"'before', lower(regexp_extract(if(i > 0, concat({found}[i - 1], right({cut}[i], 64)), right({cut}[i], 64)), r'([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$', 1)), "
-        rf"'after', lower(regexp_extract(left({cut}[i + 1], 64), r'([^\x20\x09-\x0D]+)', 1))"
-        f")))), s -> s.out)"
+        f"flatten(transform({at}, (a, i) -> transform(filter(array({found}[i]), m -> {valid}), m -> named_struct("
+        f"'start', a + length({cut}[i]), 'end', a + length({cut}[i]) + length(m), 'm', m, "
+        f"'before', lower(substring_index(rtrim({plain(left)}), ' ', -1)), "
+        f"'after', lower(substring_index(ltrim({plain(f'{cut}[i + 1]')}), ' ', 1))))))"
     )
     return [
-        {found: F.when(has, F.regexp_extract_all("text", F.lit(pattern), 0))},
+        {found: F.coalesce(F.when(has, F.regexp_extract_all("text", F.lit(pattern), 0)), F.expr("cast(array() as array<string>)"))},
         {cut: F.when(F.size(found) > 0, F.split("text", pattern, -1))},
+        *running(at, f"transform({found}, (m, i) -> length(m) + length({cut}[i]))", "x + y"),
         {kind: F.coalesce(F.when(F.size(found) > 0, F.expr(walk)), F.expr(f"cast(array() as {SPAN})"))},
     ]
 
 
+def untouched(tokens: str, base: str) -> list[dict[str, Column]]:
+    """Steps of columns that end in column `tokens`: those that touch no span of base. Both are in the order of their starts.
+
+    Parts of tokens are held against the parts of base spans that reach into them, and single ones against what is left of these.
+    """
+    meet = lambda x, y: f"{x}.start < {y}.end and {y}.start < {x}.end"
+    near = f"flatten(transform(filter(base_p, b -> {meet('b', 'w')}), b -> filter(b.own, x -> {meet('x', 'w')})))"
+    with_ends = lambda name: f"transform({parts(name)}, p -> named_struct('start', p[0].start, 'end', array_max(p.end), 'own', p))"
+    free = f"flatten(transform(tokens_p, w -> element_at(transform(array({near}), n -> filter(w.own, t -> not exists(n, x -> {meet('x', 't')}))), 1)))"
+    return [{"base_p": F.expr(with_ends(base)), "tokens_p": F.expr(with_ends(tokens))}, {tokens: F.when(F.size(base) == 0, F.col(tokens)).otherwise(F.expr(free))}]
+
+
 def located(docs: DataFrame) -> DataFrame:
     """doc_id, row (a key of id and text), one array of spans for each base kind, and the candidates, of every row."""
     df = text_rows(docs).select(
@@ -85,9 +119,10 @@ def located(docs: DataFrame) -> DataFrame:
             df = df.withColumns(step)
         kept.append(kind)
         df = df.select(*kept)
-    base = F.concat(*PATTERNS)
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return df.withColumn("base", base).withColumn("tokens", free).select("doc_id", "row", *PATTERNS, "tokens")
+    df = df.withColumn("base", F.array_sort(F.concat(*PATTERNS)))
+    for step in untouched("tokens", "base"):
+        df = df.withColumns(step)
+    return df.select("doc_id", "row", *PATTERNS, "tokens")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -152,14 +187,24 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = personal_data(docs)
     every = F.concat(*(F.expr(f"transform({k}, x -> named_struct('start', x.start, 'back', -x.end, 'kind', '{k}'))") for k in KINDS))
     spans = found.select("row", F.array_sort(every).alias("marked")).filter(F.size("marked") > 0).dropDuplicates(["row"])
-    row = F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    walk = (
-        "aggregate(marked, named_struct('at', 0, 'out', cast(array() as array<string>)), (s, x) -> if(x.start < s.at, "
-        "named_struct('at', greatest(s.at, -x.back), 'out', s.out), named_struct('at', -x.back, 'out', "
-        "concat(s.out, array(substring(text, s.at + 1, x.start - s.at), concat('<', x.kind, '>'))))), "
-        "s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))"
+    key = F.concat_ws(":", F.col("doc_id").cast("long").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    # The row travels as one column, so that no name of it can clash.
+    rows = docs.select(key.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(spans, "row", "left")
+    rows = rows.withColumn("pieces", F.when(F.col("marked").isNotNull(), F.regexp_extract_all("doc.text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    for step in running("gone", "transform(marked, x -> -x.back)", "greatest(x, y)"):  # the end of what is covered before a span
+        rows = rows.withColumns(step)
+    part = lambda a, b: (  # noqa: E731  characters a to b, put together from the pieces they lie in
+        f"if({b} <= {a}, '', if({a} div {PIECE} = ({b} - 1) div {PIECE}, substring(pieces[int({a} div {PIECE})], {a} % {PIECE} + 1, {b} - {a}), "
+        f"concat(substring(pieces[int({a} div {PIECE})], {a} % {PIECE} + 1), "
+        f"array_join(slice(pieces, int({a} div {PIECE}) + 2, int(({b} - 1) div {PIECE} - {a} div {PIECE}) - 1), ''), "
+        f"left(pieces[int(({b} - 1) div {PIECE})], ({b} - 1) % {PIECE} + 1))))"
     )
-    marked = docs.withColumn("_row", row).join(spans.select(F.col("row").alias("_row"), "marked"), "_row", "left")
-    text = F.when(F.col("marked").isNotNull(), F.expr(walk)).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("marked").isNotNull(), F.length(F.expr(walk)).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return marked.withColumns(changed).select(docs.columns)
+    end = "greatest(element_at(gone, -1), -element_at(marked, -1).back)"
+    shown = f"transform(marked, (x, i) -> if(x.start < gone[i], '', concat({part('gone[i]', 'x.start')}, '<', x.kind, '>')))"
+    changed = F.expr(f"array_join(concat({shown}, array({part(end, 'length(doc.text)')})), '')")
+    rows = rows.withColumn("changed", F.when(F.col("marked").isNotNull(), changed))
+    values = {c: F.col("doc").getField(c) for c in docs.columns}
+    values["text"] = F.coalesce("changed", values["text"])
+    if "n_chars" in values:
+        values["n_chars"] = F.coalesce(F.length("changed").cast(docs.schema["n_chars"].dataType), values["n_chars"])
+    return rows.select(*(value.alias(c) for c, value in values.items()))
