@@ -59,7 +59,15 @@ def described(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         of_byte = np.searchsorted(starts, np.arange(len(data)), "right") - 1
         kinds = CLASSES[data].astype(np.int64)
         pair = kinds[:-1] * 16 + kinds[1:]
-        inside = of_byte[:-1] >= 0
+        # Pairs of one text alone: not its end with the next one's beginning, nor what stands before its first word.
+        tops = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        first = begins[1:].copy()
+        first[doc[tops]] = begin[tops]
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, begins[:-1], 1)
+        np.add.at(edge, first, -1)
+        inside = np.cumsum(edge[:-2]) == 0
+        inside[begins[1:-1] - 1] = False
         counts = np.bincount(of_byte[:-1][inside] * 256 + pair[inside], minlength=rows * 256).reshape(rows, 256)
         x[:, :256] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
         words = np.bincount(passage, minlength=rows).astype(np.float32)
@@ -70,7 +78,6 @@ def described(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         _, seen = np.unique(bytewise.mixed(h + owner.astype(np.uint64) * bytewise.BASE), return_index=True)
         again = np.ones(len(h), bool)
         again[seen] = False
-        tops = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         sizes = np.diff(np.append(tops, len(doc)))
         place = np.repeat(np.arange(len(tops)), np.maximum(1, sizes - 4))
         within = np.arange(len(h)) - np.repeat(np.concatenate(([0], np.cumsum(np.maximum(1, sizes - 4))[:-1])), np.maximum(1, sizes - 4))
