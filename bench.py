@@ -61,21 +61,28 @@ def check(df: DataFrame) -> dict:
     return {"rows": row["n"], "sum": row["sum"]}
 
 
-def multiplied(spark: SparkSession, copies: int) -> Inputs:
-    """The inputs with every event `copies` times, events and player-days stored: so that data is timed, not planning."""
+def multiplied(spark: SparkSession, copies: int, players: bool = False) -> Inputs:
+    """The inputs with every event `copies` times, events and player-days stored: so that data is timed, not planning.
+
+    With players, each copy is of players of its own, so that no map-side sum takes the copies together.
+    """
     given = benchmark_inputs(spark, SF_DIR)
-    many = given.events.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
-    paths = [sinks.new_path(spark, name) for name in ("events", "player-days")]
-    many.write.parquet(paths[0])
-    given.player_days.write.parquet(paths[1])
-    return Inputs(spark.read.parquet(paths[0]), spark.read.parquet(paths[1]), given.players, given.fraudsters)
+    tables = {"events": given.events, "player-days": given.player_days, "players": given.players, "fraudsters": given.fraudsters}
+    paths = {}
+    for name, rows in tables.items():
+        if players or name == "events":
+            rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+            rows = rows.withColumn("distinct_id", F.concat("distinct_id", F.lit("-"), F.col("_copy").cast("string")) if players else F.col("distinct_id")).drop("_copy")
+        paths[name] = sinks.new_path(spark, name)
+        rows.write.parquet(paths[name])
+    return Inputs(*(spark.read.parquet(path) for path in paths.values()))
 
 
 def main() -> None:
     spark = session()
     stored = sinks.replace_table(facts.build_wide(benchmark_inputs(spark, SF_DIR), AS_OF), sinks.new_path(spark, "wide"))
     given = lambda: benchmark_inputs(spark, SF_DIR)
-    many = multiplied(spark, 40)
+    many, crowd = multiplied(spark, 40), multiplied(spark, 40, players=True)
     fresh = lambda: normalise(facts.build_wide(given(), AS_OF))
     kept = lambda: normalise(stored)
     queries = {
@@ -85,6 +92,8 @@ def main() -> None:
         "narrow_build": lambda: facts.build_narrow(given(), AS_OF),
         "wide_build_40x": lambda: facts.build_wide(many, AS_OF),
         "long_build_40x": lambda: facts.build_long(many, AS_OF),
+        "wide_build_40x_players": lambda: facts.build_wide(crowd, AS_OF),
+        "long_build_40x_players": lambda: facts.build_long(crowd, AS_OF),
         "v1_from_events": lambda: views.view_consumption_trend(fresh()),
         "v2_from_events": lambda: views.view_credit_components(fresh()),
         "v3_from_events": lambda: views.view_free_vs_paid(fresh()),
